@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
+from factloom.llm import chat, exact_dedup
 from factloom.llm.near_dedup import near_duplicates
 
 
@@ -16,8 +17,21 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op2_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate_perspectives(read(spark, sf_dir, "conversations"))
+
+
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_chat_perspectives": op2_chat_perspectives,
+    "op6_exact_dedup": op6_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op2_chat_perspectives": chat.ORACLE_SQL,
+    "op6_exact_dedup": exact_dedup.ORACLE_SQL,
+}
