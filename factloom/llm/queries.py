@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from factloom.llm import chat, exact_dedup
+from factloom.llm import chat, exact_dedup, secrets
 from factloom.llm.near_dedup import near_duplicates
 
 
@@ -21,6 +21,10 @@ def op2_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(read(spark, sf_dir, "conversations"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan_secrets(read(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
@@ -28,10 +32,12 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_chat_perspectives": op2_chat_perspectives,
+    "op4_secret_scan": op4_secret_scan,
     "op6_exact_dedup": op6_exact_dedup,
 }
 
 ORACLE_SQL = {
     "op2_chat_perspectives": chat.ORACLE_SQL,
+    "op4_secret_scan": secrets.ORACLE_SQL,
     "op6_exact_dedup": exact_dedup.ORACLE_SQL,
 }
