@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F  # noqa: F401
 
-from factloom.llm import chat, exact_dedup, secrets
+from factloom.llm import chat, exact_dedup, mixing, secrets
 from factloom.llm.near_dedup import near_duplicates
 
 
@@ -29,11 +29,16 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_chat_perspectives": op2_chat_perspectives,
     "op4_secret_scan": op4_secret_scan,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_source_mix": op9_source_mix,
 }
 
 ORACLE_SQL = {
