@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F  # noqa: F401
 
-from factloom.llm import chat, exact_dedup, mixing, secrets
+from factloom.llm import bpe, chat, exact_dedup, fingerprint, langid, mixing, secrets
 from factloom.llm.near_dedup import near_duplicates
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -21,6 +26,10 @@ def op2_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(read(spark, sf_dir, "conversations"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_neighbours(read(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(read(spark, sf_dir, "documents"))
 
@@ -29,6 +38,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.pack_ids(bpe.encode_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file()))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predict_languages(read(spark, sf_dir, "documents"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents"))
 
@@ -36,9 +53,12 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_chat_perspectives": op2_chat_perspectives,
+    "op3_fingerprints": op3_fingerprints,
     "op4_secret_scan": op4_secret_scan,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_bpe": op7_bpe,
     "op9_source_mix": op9_source_mix,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL = {
