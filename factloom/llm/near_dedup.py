@@ -3,19 +3,20 @@
 1. Every document becomes its set of distinct word shingles (64-bit hashes) and a signature of
    ``COORDINATES`` minima. Documents with equal sets form a class; only its smallest id goes on.
 2. A class is posted under each (coordinate, value) pair. Pairs met once cannot collide and are
-   dropped. A link needs ``MATCHES`` equal coordinates, so two linked signatures share a posting
-   among the ``COORDINATES - MATCHES + 1`` rarest of each (prefix filter over one global order:
+   dropped. A link needs ``matches`` equal coordinates, so two linked signatures share a posting
+   among the ``coordinates - matches + 1`` rarest of each (prefix filter over one global order:
    frequency, then value). Only these short prefix lists are merged; the long lists that remain
    are skipped, their collisions being counted by probing the signatures of the pairs met.
-3. Pairs with ``MATCHES`` collisions join documents into candidate groups. Each list hands on a
+3. Pairs with ``matches`` collisions join documents into candidate groups. Each list hands on a
    spanning set of its pairs, never all of them.
 4. Inside a candidate group every pair is confirmed on the full sets: intersections of a block of
    documents with another come from one product of their incidence matrices. Again a block hands
    on spanning links only. Components of confirmed links are the result.
 
 Lists and groups beyond ``BLOCK`` members are dealt out as pairs of blocks, so no task holds an
-unbounded one, and no pair is left out. The one loss is statistical: with 64 coordinates a pair at
-exactly 0.85 has fewer than 40 collisions about twice in a million.
+unbounded one, and no pair is left out. The one loss is statistical: the match threshold lies five
+standard deviations below the expected collisions of a pair at the limit of similarity, so about
+one such pair in a hundred thousand is missed, and far fewer above the limit.
 """
 
 from __future__ import annotations
@@ -32,7 +33,6 @@ from factloom.llm.components import connected
 from factloom.llm.runtime import ship, small, table
 
 COORDINATES = 64
-MATCHES = 40
 BLOCK = 2048
 SETS_BLOCK = 768
 
@@ -230,7 +230,12 @@ def _dealt(rows: DataFrame, key: str, block: int) -> DataFrame:
     return rows.withColumn("cell", F.explode(cells)).drop("own", "blocks")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
+def match_threshold(percent: int, coordinates: int) -> int:
+    p = percent / 100
+    return max(1, int(coordinates * p - 5 * (coordinates * p * (1 - p)) ** 0.5))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordinates: int = COORDINATES, matches: int | None = None) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     ``width`` words make a shingle; documents are linked when 100 * intersection >= ``percent`` *
@@ -238,9 +243,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
     that is the document itself. A null text counts as empty; empty texts link with nothing, so
     each is its own component. Repeated rows are returned as often as they come, each with the same
     values. A row without doc_id takes the component of the equal sets it meets and is kept only if
-    that is null too. ``matches`` has to suit ``percent``: the default pair is made for 80 and more
-    (see the module); other columns of ``docs`` are not read.
+    that is null too. ``matches`` is the match threshold, by default the one the module describes.
+    Other columns of ``docs`` are not read.
     """
+    matches = match_threshold(percent, coordinates) if matches is None else matches
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
