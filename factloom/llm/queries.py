@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, chat, exact_dedup, fingerprint, langid, mixing, secrets
+from factloom.llm import bpe, chat, exact_dedup, fingerprint, langid, mixing, repeats, secrets
 from factloom.llm.near_dedup import near_duplicates
 
 
@@ -46,6 +46,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(read(spark, sf_dir, "documents"))
 
 
+def op8_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op4_secret_scan": op4_secret_scan,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_bpe": op7_bpe,
+    "op8_repeat_removal": op8_repeat_removal,
     "op9_source_mix": op9_source_mix,
     "op10_language_id": op10_language_id,
 }
