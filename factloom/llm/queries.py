@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, chat, exact_dedup, fingerprint, langid, mixing, repeats, secrets
+from factloom.llm import bpe, chat, exact_dedup, fingerprint, katz, langid, mixing, repeats, secrets
 from factloom.llm.near_dedup import near_duplicates
 
 
@@ -34,6 +34,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(read(spark, sf_dir, "documents"))
 
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_documents(read(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(read(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES = {
     "op2_chat_perspectives": op2_chat_perspectives,
     "op3_fingerprints": op3_fingerprints,
     "op4_secret_scan": op4_secret_scan,
+    "op5_language_model": op5_language_model,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_bpe": op7_bpe,
     "op8_repeat_removal": op8_repeat_removal,

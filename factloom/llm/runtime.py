@@ -48,14 +48,25 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/tables_{context.applicationId}"
 
 
-def table(df: DataFrame) -> DataFrame:
+def table(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there and lost executors lose nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """As ``table``, with the rows of equal ``key`` in one bucket file: joins on it do not shuffle this side."""
+    spark = df.sparkSession
+    name = f"t_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    found = spark.table(name)
+    found.schema  # noqa: B018  resolves the files before the name goes
+    spark.sql(f"DROP TABLE {name}")
+    return found
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark a written table of narrow rows for broadcast if its counted size allows it; otherwise leave it to be shuffled."""
     return F.broadcast(df) if df.count() <= rows else df
