@@ -37,7 +37,7 @@ from factloom.llm.near_dedup import _groups
 from factloom.llm.runtime import bucketed, id_text, ship, table
 
 FOLDS, HELD_OUT = 7, 2
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 CUT = 5
 HOT = 4096
 END = np.uint64(0x3C2F733E3C2F733E)
