@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators.fixpoint import MOST_ROUNDS, doubled, fixpoint, staged
+from factloom.operators.fixpoint import MOST_ROUNDS, closure, closure_of, fixpoint, staged
 from factloom.operators.rules import answers, derived, distinct
 from factloom.plans.analysis import ProgramError, check_arity, check_safety, evaluation_order
 from factloom.plans.clauses import Atom, Comparison, Program, Rule
@@ -97,7 +97,9 @@ class Engine:
             own = [r for r in rules if r.head.name in group]
             base = {p: reduce(DataFrame.unionByName, parts) for p in group if (parts := self._base(p))}
             if any(a.name in group for r in own for a in r.positive):
-                own = doubled(own, bool(base))
+                if (edges := closure_of(own, bool(base))) is not None:
+                    self._done[group[0]] = closure(self.spark, self._done[edges], self.most_rounds)
+                    continue
                 used = {a.name for r in own for a in r.positive + r.negative} - set(group)
                 inputs = staged({n: self._done[n] for n in used}, used, plain)
                 self._done |= inputs

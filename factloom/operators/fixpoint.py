@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from factloom.operators.rules import derived
 from factloom.plans.analysis import ProgramError
-from factloom.plans.clauses import Atom, Rule, Var
+from factloom.plans.clauses import Rule, Var
 from factloom.staging import table, write
 
 MOST_ROUNDS = 10_000
@@ -18,27 +18,44 @@ class NoFixpoint(ProgramError):
     pass
 
 
-def doubled(rules: list[Rule], has_base: bool) -> list[Rule]:
-    """A transitive closure of another relation, as the equal rule that joins the closure with itself.
+def closure_of(rules: list[Rule], has_base: bool) -> str | None:
+    """The relation whose transitive closure the rules of one predicate p define, if they do nothing else.
 
-    ``p(X,Y) :- e(X,Y)`` with ``p(X,Z) :- e(X,Y), p(Y,Z)`` (or the mirrored rule) and nothing else for
-    p then needs as many rounds as the logarithm of the longest path.
+    That is ``p(X,Y) :- e(X,Y)`` with ``p(X,Z)`` from ``e(X,Y), p(Y,Z)`` or ``p(X,Y), e(Y,Z)`` or
+    ``p(X,Y), p(Y,Z)``, and no other rule, condition or row of p.
     """
     if has_base or len(rules) != 2 or any(len(r.positive) != len(r.body) for r in rules):
-        return rules
+        return None
     start, step = sorted(rules, key=lambda r: len(r.body))
     p = start.head.name
     atoms = [start.head, *start.body, step.head, *step.body]
     if len(start.body) != 1 or len(step.body) != 2 or any(len(a.terms) != 2 or not all(isinstance(t, Var) for t in a.terms) or a.terms[0] == a.terms[1] for a in atoms):
-        return rules
+        return None
     e = start.body[0].name
-    if e == p or start.body[0].terms != start.head.terms or {a.name for a in step.body} != {e, p}:
-        return rules
+    if e == p or start.body[0].terms != start.head.terms or not {p} <= {a.name for a in step.body} <= {e, p}:
+        return None
     (x, z), ends = step.head.terms, sorted(step.body, key=lambda a: step.head.terms[0] not in a.terms)
     y = ends[0].terms[1]
-    if ends[0].terms != (x, y) or ends[1].terms != (y, z) or y in (x, z):
-        return rules
-    return [start, Rule(step.head, (Atom(p, (x, y)), Atom(p, (y, z))))]
+    return e if ends[0].terms == (x, y) and ends[1].terms == (y, z) and y not in (x, z) else None
+
+
+def closure(spark: SparkSession, edges: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """Transitive closure of a binary relation, in rounds that double the lengths of the paths covered.
+
+    A round joins all pairs so far with those that are exactly as far apart as the longest of them, so
+    a pair is derived once for each of its midpoints at that distance, not for all of its midpoints.
+    """
+    steps = write(edges.distinct())
+    read = lambda *paths: spark.read.schema(edges.schema).parquet(*paths)
+    join = lambda left, right: left.selectExpr("c0", "c1 AS m").join(right.selectExpr("c0 AS m", "c1"), "m").select("c0", "c1").distinct()
+    paths, far = [steps], read(steps)
+    for _ in range(most_rounds):
+        new = write(join(read(*paths), far).join(read(*paths), ["c0", "c1"], "left_anti"))
+        if read(new).isEmpty():
+            return read(*paths)
+        paths.append(new)
+        far = table(join(far, far).join(read(new), ["c0", "c1"], "left_semi"))
+    raise NoFixpoint(f"no closure after {most_rounds} rounds")
 
 
 def fixpoint(spark: SparkSession, group: list[str], rules: list[Rule], relations: dict[str, DataFrame], base: dict[str, DataFrame], most_rounds: int = MOST_ROUNDS) -> dict[str, DataFrame]:
