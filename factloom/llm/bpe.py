@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 from collections.abc import Iterator
 
 import ahocorasick
@@ -17,8 +18,10 @@ from factloom.llm.runtime import ship
 #: Fixed value: the byte-level pattern that splits text before merging; white space as Unicode defines it.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
-#: Entries kept of pieces seen before and of pairs tested before; the tables start anew beyond it.
-CACHED = 250_000
+#: Entries of the newer of two generations of pieces seen before, and of pairs tested before.
+CACHED = 60_000
+#: Texts encoded at a time.
+ROWS = 256
 
 
 def byte_letters() -> list[str]:
@@ -52,12 +55,12 @@ class Encoder(dict):
         self.pieces = regex.compile(_SPLIT).findall
 
         self.rank: dict[int, int] = {}
-        self.merge: dict[tuple[int, int], int] = {}
+        self.merge: dict[int, int] = {}  # by left << 20 | right
         self.parts: dict[int, tuple[int, int]] = {}
         for at, pair in enumerate(definition["model"]["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
             whole, pair = vocabulary[left + right], (vocabulary[left], vocabulary[right])
-            self.merge[pair] = at
+            self.merge[pair[0] << 20 | pair[1]] = at
             if whole not in self.parts:
                 self.rank[whole], self.parts[whole] = at, pair
         self.known = ahocorasick.Automaton()
@@ -65,7 +68,9 @@ class Encoder(dict):
             if token not in self.special and (len(self.bytes[i]) == 1 or i in self.parts):
                 self.known.add_word(self.bytes[i].decode("latin-1"), (i, len(self.bytes[i])))
         self.known.make_automaton()
-        self.tested: dict[tuple[int, int], bool] = {}
+        self.older: dict[str, bytes] = {}
+        self.tested: dict[int, bool] = {}
+        self.tested_older: dict[int, bool] = {}
         self.edges: dict[tuple[int, int], list[tuple[int, float]]] = {}
 
     def edge(self, token: int, side: int) -> list[tuple[int, float]]:
@@ -87,34 +92,48 @@ class Encoder(dict):
         Merges happen by rank, equal ones from left to right. The border falls if two tokens that
         were at it merge before either is taken into its own neighbour.
         """
-        key = (left, right)
-        known = self.tested.get(key)
-        if known is None:
-            known = True
-            for a, a_until in self.edge(left, 1):
-                for b, b_until in self.edge(right, 0):
-                    at = self.merge.get((a, b))
-                    if at is not None and at < a_until and at <= b_until:
-                        known = False
-            if len(self.tested) > 2 * CACHED:
-                self.tested.clear()
-            self.tested[key] = known
-        return known
+        merge, ends = self.merge, self.edge(right, 0)
+        for a, a_until in self.edge(left, 1):
+            for b, b_until in ends:
+                at = merge.get(a << 20 | b)
+                if at is not None and at < a_until and at <= b_until:
+                    return False
+        return True
 
     def __missing__(self, piece: str) -> bytes:
-        raw = piece.encode().decode("latin-1")
+        packed = self.older.get(piece)
+        if packed is not None:
+            self[piece] = packed
+            return packed
+        raw = piece if piece.isascii() else piece.encode().decode("latin-1")
         last = [-1] * len(raw)
         size = [0] * len(raw)
+        tested = self.tested
         for end, (token, length) in self.known.iter(raw):
-            before = end - length
-            if last[end] < 0 and (before < 0 or self.fit(last[before], token)):
-                last[end], size[end] = token, length
+            if last[end] < 0:
+                before = end - length
+                if before < 0:
+                    fits = True
+                else:
+                    key = last[before] << 20 | token
+                    fits = tested.get(key)
+                    if fits is None:
+                        fits = self.tested_older.get(key)
+                        if fits is None:
+                            fits = self.fit(last[before], token)
+                        tested[key] = fits
+                if fits:
+                    last[end], size[end] = token, length
         ids, end = [], len(raw) - 1
         while end >= 0:
             ids.append(last[end])
             end -= size[end]
-        packed = np.array(ids[::-1], dtype="<u4").tobytes()
+        ids.reverse()
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        if len(tested) > CACHED:
+            self.tested, self.tested_older = {}, tested
         if len(self) > CACHED:
+            self.older = dict(self)
             self.clear()
         if len(piece) <= 64:
             self[piece] = packed
@@ -161,18 +180,16 @@ def encode_documents(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(definition.value)
         for batch in batches:
-            row, n = 0, batch.num_rows
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            sizes = np.cumsum([0, *map(len, texts)])
-            while row < n:
-                stop = max(row + 1, int(np.searchsorted(sizes, sizes[row] + (1 << 20), side="right")) - 1)
-                packed = [np.frombuffer(encoder.encode(x), dtype="<u4") for x in texts[row:stop]]
+            n = batch.num_rows
+            for row in range(0, n, ROWS):
+                stop = min(row + ROWS, n)
+                texts = batch.column("text").slice(row, stop - row).to_pylist()
+                packed = [np.frombuffer(encoder.encode(x or ""), dtype="<u4") for x in texts]
                 ends = np.cumsum([0, *map(len, packed)])
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(packed).astype(np.int32), pa.int32()))
                 decoded = pa.array([encoder.decode(x) for x in packed], pa.string())
                 part = batch.slice(row, stop - row)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), ids, decoded], [*kept, "ids", "decoded"])
-                row = stop
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(kept).schema.fields)
     return docs.mapInArrow(run, f"{fields}, ids array<int>, decoded string")

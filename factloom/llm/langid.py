@@ -35,12 +35,11 @@ class Model:
 
 def _term_counts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(row, features, counts) of every text with a letter; all of its n-grams count."""
-    texts = column.to_pylist()
     row = 0
-    while row < len(texts):
+    while row < len(column):
         stop, size, lowered = row, 0, []
-        while stop < len(texts) and (not lowered or size < T.CHUNK_BYTES):
-            lowered.append((texts[stop] or "").lower())
+        while stop < len(column) and (not lowered or size < T.CHUNK_BYTES // 4):
+            lowered.append((column[stop].as_py() or "").lower())
             size += len(lowered[-1])
             stop += 1
         points = np.frombuffer("".join(lowered).encode("utf-32-le"), dtype="<u4").astype(np.uint64)
@@ -153,7 +152,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     fitted = [x[1:] for i, x in enumerate(sample) if i % 5]
     kept = [x[1:] for i, x in enumerate(sample) if i % 5 == 0]
     weights = fit_ftrl(fitted, max(1, len(languages)))
-    scores = np.array([v @ weights[f] for _, f, v in kept]).reshape(len(kept), -1)
+    scores = np.array([v @ weights[f] for _, f, v in kept]).reshape(len(kept), max(1, len(languages)))
     temperature = fit_temperature(scores, np.array([x[0] for x in kept], dtype=int))
     return Model(languages, idf, weights, temperature)
 

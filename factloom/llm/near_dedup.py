@@ -54,9 +54,9 @@ def _features(width: int, coordinates: int):
                 signature = np.zeros((n, coordinates), dtype=np.uint64)
                 full = np.flatnonzero(counts)
                 if len(full):
-                    for lo in range(0, coordinates, 8):
-                        hashed = T.mix(values[None, :] ^ keys[lo : lo + 8])
-                        signature[full, lo : lo + 8] = np.minimum.reduceat(hashed, at[full], axis=1).T
+                    for lo in range(0, coordinates, 4):
+                        hashed = T.mix(values[None, :] ^ keys[lo : lo + 4])
+                        signature[full, lo : lo + 4] = np.minimum.reduceat(hashed, at[full], axis=1).T
                 raw = signature.tobytes()
                 width_bytes = coordinates * 8
                 yield pa.RecordBatch.from_arrays(

@@ -12,15 +12,22 @@ import zipfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.staging import shared_dir
+
 #: Rows of two or three longs up to which a side is broadcast; a larger side is shuffled.
 BROADCAST_ROWS = 400_000
 
+#: Rows in an Arrow batch: rows hold whole texts, so Spark's default of 10,000 takes tens of MB in every task.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
+
 _here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each application."""
+    """Give the executors this package, once for each application, and keep batches of texts small unless the session says otherwise."""
     context = spark.sparkContext
+    if spark.conf.get(BATCH, "10000") == "10000":
+        spark.conf.set(BATCH, str(BATCH_ROWS))
     if getattr(context, "_package_shipped", False):
         return
     folder = tempfile.mkdtemp()
@@ -36,18 +43,6 @@ def ship(spark: SparkSession) -> None:
     context._package_shipped = True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = getattr(context, "_own_shared_dir", None)
-        if folder is None:
-            folder = context._own_shared_dir = tempfile.mkdtemp(prefix="shared_")
-            atexit.register(shutil.rmtree, folder, True)
-    return f"{folder.rstrip('/')}/tables_{context.applicationId}"
-
-
 def table(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there and lost executors lose nothing."""
     spark = df.sparkSession

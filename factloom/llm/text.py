@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C55)
 
 _SPACE = np.zeros(256, dtype=bool)
