@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from factloom.llm import bpe, chat, exact_dedup, fingerprint, katz, langid, mixing, repeats, secrets
-from factloom.llm.near_dedup import near_duplicates
+from factloom.llm import bpe, chat, exact_dedup, fingerprint, katz, langid, mixing, near_dedup, repeats, secrets
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -19,7 +18,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=85)
+    return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), width=3, percent=85)
 
 
 def op2_chat_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +71,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_near_dedup": near_dedup.ORACLE_SQL,
     "op2_chat_perspectives": chat.ORACLE_SQL,
     "op4_secret_scan": secrets.ORACLE_SQL,
     "op6_exact_dedup": exact_dedup.ORACLE_SQL,
