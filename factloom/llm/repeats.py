@@ -40,6 +40,7 @@ LENGTH = 200
 ANCHOR = 64
 #: Contexts sorted together, and classes of an anchor up to which they are sorted in one task.
 BLOCK = 50_000
+PLACE = ("at", "first", "last", "n", "stop")
 
 
 def _prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,9 +51,13 @@ def _prefix_hash(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchored(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int) -> dict[str, np.ndarray]:
-    """Anchors of whole texts: row, place, first and last start, and hashes of anchor and context."""
+    """Anchors of whole texts: row, place, first and last start, and hashes of anchor and context.
+
+    Neighbours with equal anchor and context, as in text that repeats a few bytes over and over, are
+    one entry: n counts them, stop is the last start of the last one.
+    """
     span = length - anchor + 1
-    none = {k: np.zeros(0, np.int64) for k in ("row", "at", "first", "last", "anchor", "context")}
+    none = {k: np.zeros(0, np.int64) for k in ("row", "at", "first", "last", "anchor", "context", "n", "stop")}
     if len(data) < length:
         return none
     total, down = _prefix_hash(data)
@@ -78,8 +83,16 @@ def _anchored(data: np.ndarray, offsets: np.ndarray, length: int, anchor: int) -
     row = np.searchsorted(offsets, first, side="right") - 1
     context = T.mix((total[last + length] - total[first]) * down[first], 12)
     context = T.mix(context ^ T.mix(((at - first) << 16 | (last - first)).astype(np.uint64), 13), 14)
+    anchors = hashes[at]
+    fresh = np.ones(len(at), dtype=bool)
+    fresh[1:] = (anchors[1:] != anchors[:-1]) | (context[1:] != context[:-1]) | (row[1:] != row[:-1]) | (first[1:] != last[:-1] + 1)
+    kept = np.flatnonzero(fresh)
+    n = np.diff(np.append(kept, len(at)))
+    stop = last[kept + n - 1]
+    row, at, first, last = row[kept], at[kept], first[kept], last[kept]
     base = offsets[row]
-    return {"row": row, "at": at - base, "first": first - base, "last": last - base, "anchor": hashes[at].view(np.int64), "context": context.view(np.int64)}
+    hashed = {"anchor": anchors[kept].view(np.int64), "context": context[kept].view(np.int64)}
+    return {"row": row, "at": at - base, "first": first - base, "last": last - base, "n": n, "stop": stop - base} | hashed
 
 
 def _occurrences(length: int, anchor: int):
@@ -89,7 +102,7 @@ def _occurrences(length: int, anchor: int):
             for row, data, offsets in T.chunks(batch.column("text")):
                 found = _anchored(data, offsets, length, anchor)
                 columns = [pa.array(found[k]) for k in ("anchor", "context")] + [pa.array(uid[row + found["row"]])]
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(found[k].astype(np.int32)) for k in ("at", "first", "last"))], ["anchor", "context", "uid", "at", "first", "last"])
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array(found[k].astype(np.int32)) for k in PLACE)], ["anchor", "context", "uid", *PLACE])
 
     return run
 
@@ -230,17 +243,17 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block: int = BLOCK) -> DataFrame:
     """(uid, from, to): byte ranges, which may overlap, that cover all repeated strings of ``docs`` (uid, text)."""
-    found = "anchor long, context long, uid long, at int, first int, last int"
+    found = f"anchor long, context long, uid long, {', '.join(f'{c} int' for c in PLACE)}"
     occurrences = table(docs.mapInArrow(_occurrences(length, anchor), found))
-    met = occurrences.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("low"), F.max("context").alias("high"))
+    met = occurrences.groupBy("anchor").agg(F.sum("n").alias("n"), F.min("context").alias("low"), F.max("context").alias("high"))
     met = met.filter("n > 1").select("anchor", (F.col("low") == F.col("high")).alias("alike"))
     repeated = table(occurrences.join(met, "anchor"))
     mixed = repeated.filter("not alike")
-    classes = mixed.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("uid", "at", "first", "last")).alias("one"))
+    classes = mixed.groupBy("anchor", "context").agg(F.sum("n").alias("n"), F.min(F.struct("uid", "at", "first", "last")).alias("one"))
     classes = table(classes)
     copied = mixed.join(classes.filter("n > 1").select("anchor", "context"), ["anchor", "context"], "left_semi")
-    copied = repeated.filter("alike").select("uid", "first", "last").unionByName(copied.select("uid", "first", "last"))
-    ranges = copied.select("uid", F.col("first").cast("long").alias("from"), (F.col("last") + length).cast("long").alias("to"))
+    copied = repeated.filter("alike").select("uid", "first", "stop").unionByName(copied.select("uid", "first", "stop"))
+    ranges = copied.select("uid", F.col("first").cast("long").alias("from"), (F.col("stop") + length).cast("long").alias("to"))
 
     open_anchors = classes.groupBy("anchor").agg(F.min("n").alias("least"), F.count("*").alias("classes")).filter("least = 1")
     wanted = classes.join(open_anchors, "anchor").select("anchor", "classes", "n", "one.*")
