@@ -7,6 +7,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from factloom.llm.runtime import ship
 
 WIDTH = 5
 #: One of this many shingle hashes is retained.
-SCALE = 8
+SCALE = 4
 
 
 def sketch(column: pa.Array, width: int = WIDTH, scale: int = SCALE) -> list[np.ndarray]:
@@ -99,10 +100,14 @@ def compare_neighbours(docs: DataFrame, width: int = WIDTH, scale: int = SCALE)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ids = docs.select("doc_id")
     edges = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("e")).head()["e"] or []
-    edges = sorted(set(edges), reverse=True)
-    # Range i holds ids from edges[i - 1] down to above edges[i]; null ids are in the last one.
-    place = F.coalesce(F.size(F.filter(F.array(*[F.lit(e) for e in edges]).cast("array<long>"), lambda e: e >= F.col("doc_id"))), F.lit(0))
-    place = F.when(F.col("doc_id").isNull(), F.lit(len(edges))).otherwise(place)
+    edges = np.array(sorted(set(edges)), dtype=np.int64)
+
+    # Range i holds the ids that i edges are not below; null ids are with the smallest, in the last range.
+    @F.pandas_udf("int")
+    def range_of(doc_id: pd.Series) -> pd.Series:
+        return pd.Series(len(edges) - np.searchsorted(edges, doc_id.to_numpy()), dtype="int32")
+
+    place = range_of(F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
     order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", F.xxhash64("text").alias("tie"))
     rows = docs.withColumn("place", place)
     # One row for a range; there are as many ranges as shuffle partitions.
