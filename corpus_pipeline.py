@@ -30,8 +30,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = small(table(near_duplicates(docs, width=5, percent=80).filter("not kept").select(F.col("doc_id").alias("_id"))))
-    return docs.join(gone, docs.doc_id == F.col("_id"), "left_anti")
+    gone = small(table(near_duplicates(docs, width=5, percent=80).filter("not kept").select(F.col("doc_id").alias("__near_id"))))
+    return docs.join(gone, docs.doc_id == F.col("__near_id"), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,14 +78,14 @@ def drop_copies(docs: DataFrame, keep: str = "largest", runs: int = RUNS, fan_in
     """
     found = _groups(docs, keep, runs, fan_in).filter("size > 1")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    gone = found.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).agg(
-        F.max(F.col("keep.row") == F.col("row")).alias("_stays"), F.count("*").alias("_n")
+    gone = found.groupBy(F.col("doc_id").alias("__dedup_id"), F.col("digest").alias("__dedup_digest")).agg(
+        F.max(F.col("keep.row") == F.col("row")).alias("__dedup_stays"), F.count("*").alias("__dedup_n")
     )
     gone = small(table(gone))
-    marked = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.unhex(F.sha2(text, 256)) == F.col("_digest")), "left")
-    once = marked.filter("_n is null or (_stays and _n = 1)").select(docs.columns)
-    repeated = marked.filter("_stays and _n > 1")
-    first = repeated.groupBy("_id", "_digest").agg(F.first(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    marked = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__dedup_id")) & (F.unhex(F.sha2(text, 256)) == F.col("__dedup_digest")), "left")
+    once = marked.filter("__dedup_n is null or (__dedup_stays and __dedup_n = 1)").select(docs.columns)
+    repeated = marked.filter("__dedup_stays and __dedup_n > 1")
+    first = repeated.groupBy("__dedup_id", "__dedup_digest").agg(F.first(F.struct(*docs.columns)).alias("__dedup_row")).select("__dedup_row.*")
     return once.unionByName(first)
 
 

@@ -161,7 +161,7 @@ def _cut(names: list[str]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pieces = batch.column("pieces").to_pylist()
+            pieces = batch.column("__mix_pieces").to_pylist()
             for row, data, offsets in T.chunks(batch.column("text")):
                 n = len(offsets) - 1
                 starts, _, at = T.words(data, offsets)
@@ -193,7 +193,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """
     _, _, pieces = _plan(docs, *[options.get(k, d) for k, d in (("block", BLOCK_WORDS), ("shards", SHARDS), ("seed", 0), ("weights", WEIGHTS), ("share", 1.5), ("most", 2.0))])
     merged = pieces.groupBy("doc_id", "tie", "from", "to").agg(F.sum("uses").cast("int").alias("uses"))
-    cuts = merged.groupBy(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).agg(F.sort_array(F.collect_list(F.struct("from", "to", "uses"))).alias("pieces"))
-    rows = docs.withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
-    rows = rows.join(cuts, rows.doc_id.cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_tie")))
-    return rows.select(*docs.columns, "pieces").mapInArrow(_cut(docs.columns), docs.schema)
+    cuts = merged.groupBy(F.col("doc_id").alias("__mix_id"), F.col("tie").alias("__mix_tie")).agg(F.sort_array(F.collect_list(F.struct("from", "to", "uses"))).alias("__mix_pieces"))
+    rows = docs.withColumn("__mix_hash", F.xxhash64(F.col("text").cast("string")))
+    rows = rows.join(cuts, rows.doc_id.cast("long").eqNullSafe(F.col("__mix_id")) & (F.col("__mix_hash") == F.col("__mix_tie")))
+    return rows.select(*docs.columns, "__mix_pieces").mapInArrow(_cut(docs.columns), docs.schema)
