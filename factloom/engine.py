@@ -20,11 +20,12 @@ class Engine:
     """Relations by name; derived ones are evaluated when a query first needs them.
 
     Relations are sets of rows of texts. Registered DataFrames are cast to text, rows with a null are
-    left out, and rows that repeat count once in every result.
+    left out, and rows that repeat count once in every result. Ids of mapped facts stand without their
+    type, so equal ids of different types are one value; with ``typed`` they are ``type/id``.
     """
 
-    def __init__(self, spark: SparkSession, facts: DataFrame | None = None, most_rounds: int = MOST_ROUNDS):
-        self.spark, self.most_rounds = spark, most_rounds
+    def __init__(self, spark: SparkSession, facts: DataFrame | None = None, most_rounds: int = MOST_ROUNDS, typed: bool = False):
+        self.spark, self.most_rounds, self.typed = spark, most_rounds, typed
         self.facts = facts if facts is None or "shape" in facts.columns else with_shape(facts)
         self.program = Program()
         self._registered: dict[str, DataFrame] = {}
@@ -65,7 +66,7 @@ class Engine:
             if m.name == name:
                 if self.facts is None:
                     raise ProgramError(f"{name} is mapped from facts, but there are none")
-                out.append(mapped(self.facts, m))
+                out.append(mapped(self.facts, m, self.typed))
         ground = [r.head.terms for r in self.program.rules if r.head.name == name and not r.body]
         if ground:
             out.append(self.spark.createDataFrame(ground, ", ".join(f"c{i} string" for i in range(len(ground[0])))) if ground[0] else self.spark.range(1).select())
@@ -76,6 +77,18 @@ class Engine:
         self._evaluate({name})
         return self._done[name]
 
+    def save(self, name: str, folder: str) -> None:
+        """Write a predicate's rows as Parquet, for ``restore`` in this or another engine."""
+        distinct(self.relation(name)).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
+
+    def restore(self, name: str, folder: str) -> Engine:
+        return self.register(name, self.spark.read.parquet(f"{folder.rstrip('/')}/{name}"))
+
+    def create_views(self, *names: str) -> None:
+        """Make predicates temporary views of their names, for use in SQL."""
+        for name in names:
+            distinct(self.relation(name)).createOrReplaceTempView(name)
+
     def _evaluate(self, wanted: set[str]) -> None:
         rules = [r for r in self.program.rules if r.body]
         arity = self._arity()

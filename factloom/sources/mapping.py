@@ -10,10 +10,10 @@ from factloom.plans.clauses import Mapping, Var
 from factloom.sources.facts import shape
 
 
-def mapped(facts: DataFrame, mapping: Mapping) -> DataFrame:
+def mapped(facts: DataFrame, mapping: Mapping, typed: bool = False) -> DataFrame:
     """Columns c0.. of the arguments: one row for each fact that has exactly the pattern's entities in its order.
 
-    Ids stand without their type. A variable that repeats must stand for equal ids. The sequence of
+    Ids stand without their type, or as ``type/id`` if ``typed``. A variable that repeats must stand for equal ids. The sequence of
     types is one text column of a stored fact, so matching it is pushed down to the scan.
     """
     where = F.col("shape") == F.lit(shape([t for t, _ in mapping.pattern]))
@@ -28,4 +28,6 @@ def mapped(facts: DataFrame, mapping: Mapping) -> DataFrame:
             first[value.name] = i
     if missing := [a for a in mapping.args if a not in first]:
         raise ProgramError(f"argument {missing[0]} of {mapping.name} is not in its pattern")
-    return facts.filter(where).select(*[F.col("entities")[first[a]]["id"].alias(f"c{i}") for i, a in enumerate(mapping.args)])
+    values = [F.col("entities")[first[a]] for a in mapping.args]
+    values = [F.concat_ws("/", v["type"], v["id"]) if typed else v["id"] for v in values]
+    return facts.filter(where).select(*[v.alias(f"c{i}") for i, v in enumerate(values)])

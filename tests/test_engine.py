@@ -109,6 +109,23 @@ def test_register(spark):
     assert [tuple(r) for r in Engine(spark).register("p", rows).query("p(A, B)").collect()] == [("1", "x")]
 
 
+def test_save_restore_and_views(spark, tmp_path):
+    first = Engine(spark).load(CYCLE)
+    first.save("t", str(tmp_path))
+    second = Engine(spark).restore("t", str(tmp_path)).load("loop(X) :- t(X, X).")
+    second.create_views("loop")
+    assert sorted(r[0] for r in spark.sql("SELECT c0 FROM loop").collect()) == ["a", "b", "c"]
+
+
+def test_typed_values(spark):
+    entities = "fact_id bigint, entities array<struct<type:string,id:string>>, source string"
+    facts = spark.createDataFrame([(1, [("author", "x"), ("book", "x")], None)], entities)
+    source = "@map wrote(A, B) = [author:A, book:B]. same(A) :- wrote(A, A)."
+    assert [tuple(r) for r in Engine(spark, facts, typed=True).load(source).query("wrote(A, B)").collect()] == [("author/x", "book/x")]
+    assert Engine(spark, facts, typed=True).load(source).query("same(A)").count() == 0
+    assert Engine(spark, facts).load(source).query("same(A)").count() == 1
+
+
 def test_compare(spark):
     pairs = [("9", "10"), ("9", "10a"), ("07", "7"), ("3.14", "3"), ("+5", "5"), ("1_0", "10"), ("9223372036854775808", "9"), (" 7", "7"), ("-1", "1")]
     row = spark.createDataFrame(pairs, "x string, y string").select(compare(F.col("x"), "<", F.col("y")), compare(F.col("x"), "=", F.col("y"))).collect()
