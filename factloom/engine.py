@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.operators.fixpoint import MOST_ROUNDS, closure, closure_of, fixpoint, staged
+from factloom.operators.fixpoint import MOST_ROUNDS, closure, closure_of, fixpoint, reached, staged
 from factloom.operators.rules import answers, derived, distinct
 from factloom.plans.analysis import ProgramError, check_arity, check_safety, evaluation_order
-from factloom.plans.clauses import Atom, Comparison, Program, Rule
+from factloom.plans.clauses import Atom, Comparison, Program, Rule, Var
 from factloom.sources.facts import with_shape
 from factloom.sources.mapping import mapped
 from factloom.sources.program import load_program, read_program
@@ -131,6 +131,8 @@ class Engine:
             query = read_program(f"?- {text}.").queries[0]
         check_safety(Rule(Atom("query", ()), query))
         self._arity(query)
+        if (bound := self._bound_closure(query)) is not None:
+            return answers(self.spark, query, lambda a, _: bound)
         names = {a.name for a in query if isinstance(a, Atom)}
         arity = {a.name: len(a.terms) for a in query if isinstance(a, Atom)}
         self._evaluate(names)
@@ -140,6 +142,19 @@ class Engine:
                 relations[n] = self.spark.createDataFrame([], ", ".join(f"c{i} string" for i in range(k)))
         return answers(self.spark, query, lambda a, _: relations[a.name])
 
+    def _bound_closure(self, query: tuple[Atom | Comparison, ...]) -> DataFrame | None:
+        """For a query of one atom that fixes an argument of a closure not evaluated yet: the pairs with that constant."""
+        atoms = [a for a in query if isinstance(a, Atom)]
+        if len(atoms) != 1 or atoms[0].negated or atoms[0].name in self._done or len(atoms[0].terms) != 2:
+            return None
+        name, (first, last) = atoms[0].name, atoms[0].terms
+        edges = closure_of([r for r in self.program.rules if r.head.name == name], bool(self._base(name)))
+        if edges is None or isinstance(first, Var) and isinstance(last, Var):
+            return None
+        self._evaluate({edges})
+        forward = not isinstance(first, Var)
+        return reached(self.spark, self._done[edges], first if forward else last, forward, self.most_rounds)
+
     def results(self) -> list[tuple[tuple[Atom | Comparison, ...], DataFrame]]:
         """The queries of the loaded programs, in order, with their answers."""
         return [(q, self.query(q)) for q in self.program.queries]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from factloom.operators.rules import derived
 from factloom.plans.analysis import ProgramError
@@ -58,6 +59,24 @@ def closure(spark: SparkSession, edges: DataFrame, most_rounds: int = MOST_ROUND
     raise NoFixpoint(f"no closure after {most_rounds} rounds")
 
 
+def reached(spark: SparkSession, edges: DataFrame, start: str, forward: bool = True, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """The pairs of the closure of ``edges`` that have ``start`` first (or last, if not ``forward``), without the rest of it.
+
+    A round follows the edges of the nodes met in the last one.
+    """
+    here, there = ("c0", "c1") if forward else ("c1", "c0")
+    schema = "node string"
+    read = lambda *paths: spark.read.schema(schema).parquet(*paths)
+    paths = [write(edges.filter(F.col(here) == start).select(F.col(there).alias("node")).distinct())]
+    for _ in range(most_rounds):
+        if read(paths[-1]).isEmpty():
+            pairs = read(*paths).select(F.lit(start).alias(here), F.col("node").alias(there))
+            return pairs.select("c0", "c1")
+        step = edges.join(read(paths[-1]).withColumnRenamed("node", here), here).select(F.col(there).alias("node")).distinct()
+        paths.append(write(step.join(read(*paths), "node", "left_anti")))
+    raise NoFixpoint(f"nodes from {start} not all met after {most_rounds} rounds")
+
+
 def fixpoint(spark: SparkSession, group: list[str], rules: list[Rule], relations: dict[str, DataFrame], base: dict[str, DataFrame], most_rounds: int = MOST_ROUNDS) -> dict[str, DataFrame]:
     """Relations of mutually recursive predicates, given those of all others and base rows of their own.
 

@@ -108,6 +108,7 @@ _PROGRAMS: dict[str, tuple[str, str, str, str]] = {
     "join_neg_cmp": ("cust_nation cust_segment placed order_status", 'b(C) :- placed(C, O), order_status(O, "P"). odd(C, N) :- cust_nation(C, N), cust_segment(C, S), S != "BUILDING", not b(C).', "odd(C, N)", "SELECT DISTINCT c.a AS C, c.b AS N FROM cust_nation c JOIN cust_segment s ON c.a = s.a WHERE s.b <> 'BUILDING' AND c.a NOT IN (SELECT p.a FROM placed p JOIN order_status o ON p.b = o.a WHERE o.b = 'P')"),
     "tc_geo": ("cust_nation nation_region", "in(X, Y) :- cust_nation(X, Y). in(X, Y) :- nation_region(X, Y). located_in(X, Y) :- in(X, Y). located_in(X, Z) :- in(X, Y), located_in(Y, Z).", "located_in(X, Y)", ", e AS (SELECT * FROM cust_nation UNION SELECT * FROM nation_region), t AS (SELECT a, b FROM e UNION SELECT e.a, t.b FROM e JOIN t ON e.b = t.a) SELECT a AS X, b AS Y FROM t"),
     "tc_conv": ("next_turn", "after(X, Y) :- next_turn(X, Y). after(X, Z) :- next_turn(X, Y), after(Y, Z).", "after(X, Y)", ", t AS (SELECT a, b FROM next_turn UNION SELECT e.a, t.b FROM next_turn e JOIN t ON e.b = t.a) SELECT a AS X, b AS Y FROM t"),
+    "tc_bound": ("cust_nation nation_region", "in(X, Y) :- cust_nation(X, Y). in(X, Y) :- nation_region(X, Y). located_in(X, Y) :- in(X, Y). located_in(X, Z) :- in(X, Y), located_in(Y, Z).", 'located_in(X, "R1")', ", e AS (SELECT * FROM cust_nation UNION SELECT * FROM nation_region), t AS (SELECT a FROM e WHERE b = 'R1' UNION SELECT e.a FROM e JOIN t ON e.b = t.a) SELECT a AS X FROM t"),
     "nonlinear": ("next_turn", "after(X, Y) :- next_turn(X, Y). after(X, Z) :- after(X, Y), after(Y, Z).", "after(X, Y)", ", t AS (SELECT a, b FROM next_turn UNION SELECT t.a, e.b FROM t JOIN next_turn e ON t.b = e.a) SELECT a AS X, b AS Y FROM t"),
     "mutual_rec": ("first_turn next_turn", "even(T) :- first_turn(T). odd(U) :- even(T), next_turn(T, U). even(U) :- odd(T), next_turn(T, U).", "odd(T)", ", t AS (SELECT a, 0 AS k FROM first_turn UNION SELECT e.b, 1 - t.k FROM t JOIN next_turn e ON t.a = e.a) SELECT DISTINCT a AS T FROM t WHERE k = 1"),
     "strata3": ("next_turn first_turn turn_role", 'after(X, Y) :- next_turn(X, Y). after(X, Z) :- next_turn(X, Y), after(Y, Z). reached(Y) :- first_turn(X), after(X, Y). lone(T) :- turn_role(T, _), not reached(T). kept(T, R) :- turn_role(T, R), not lone(T).', "kept(T, R)", ", t AS (SELECT b FROM first_turn f JOIN next_turn e ON f.a = e.a UNION SELECT e.b FROM t JOIN next_turn e ON t.b = e.a) SELECT a AS T, turn_role.b AS R FROM turn_role WHERE a IN (SELECT b FROM t)"),

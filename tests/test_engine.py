@@ -92,6 +92,15 @@ def test_closure_of_random_graphs(spark, seed):
     assert len(rows) == len(expected) and {tuple(r) for r in rows} == expected
 
 
+def test_bound_closure_agrees(spark):
+    source = "e(a,b). e(b,c). e(c,a). e(c,d). e(x,d). t(X,Y) :- e(X,Y). t(X,Z) :- e(X,Y), t(Y,Z)."
+    whole = ask(spark, source, "t(X, Y)")
+    assert ask(spark, source, "t(b, Y)") == [(y,) for x, y in whole if x == "b"]
+    assert ask(spark, source, "t(X, d)") == [(x,) for x, y in whole if y == "d"]
+    assert ask(spark, source, "t(d, Y)") == [] and Engine(spark).load(source).query("t(a, d)").count() == 1
+    assert ask(spark, source, "t(a, Y), Y != a") == [("b",), ("c",), ("d",)]
+
+
 def test_ground_query(spark):
     assert Engine(spark).load(EDGES).query('edge("a", "b")').count() == 1
     assert Engine(spark).load(EDGES).query('edge("a", "c")').count() == 0
