@@ -1,4 +1,4 @@
-"""``python -m factloom.cli get|ingest|datalog``: browse and load the store in ./.kb, run programs."""
+"""``python -m factloom.cli get|ingest|datalog``: browse and load the store in ./.factloom, run programs."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from factloom.sources.facts import FactStore, rejected_lines
 from factloom.sources.program import load_program
 
 USAGE = "usage: get [path] | ingest <file.jsonl> | datalog [--profile] <file.dl>"
-STORE = "./.kb"
+STORE = "./.factloom"
 
 
 def _get(spark: SparkSession, path: str) -> int:
