@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder in spark.checkpoint.dir, or in one of our own where that is unset."""
+    """This application's folder in spark.checkpoint.dir, or in one of our own where that is unset; removed when Python exits."""
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir", None)
+    if folder and not getattr(context, "_tables_removed_at_exit", False):
+        context._tables_removed_at_exit = True
+        atexit.register(_remove, context, f"{folder.rstrip('/')}/tables_{context.applicationId}")
     if not folder:
         folder = getattr(context, "_own_shared_dir", None)
         if folder is None:
@@ -22,6 +25,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/tables_{context.applicationId}"
 
 
+def _remove(context, path: str) -> None:
+    if context._jsc is not None:
+        target = context._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def write(df: DataFrame) -> str:
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
