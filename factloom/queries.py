@@ -15,7 +15,7 @@ from factloom.engine import Engine
 from factloom.functions.compare import compare
 from factloom.functions.entity_key import decode_key, encode_key, key_type, sort_part
 from factloom.operators.browse import cooccurring, entities_of, entity_types, matching_facts
-from factloom.sources.facts import edges_of, with_shape
+from factloom.sources.facts import edges_of, parse_lines, with_shape
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -181,6 +181,16 @@ def map_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine.query("within(X, Y)")
 
 
+def ingest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as JSON lines and read back: numeric ids where shipped, no JSON where pending."""
+    line = """CASE o_orderstatus WHEN 'P' THEN 'no json'
+      WHEN 'F' THEN concat('{"edges":[["order","O', o_orderkey, '"],["customer",', o_custkey, '],["status"]],"source":""}')
+      ELSE concat('{"edges":[["order","O', o_orderkey, '","more"],["customer","C', o_custkey, '"]],"source":"', o_orderpriority, '"}') END"""
+    found = parse_lines(_read(spark, sf_dir, "orders").select("o_orderkey", F.expr(line).alias("value")))
+    listed = F.array_join(F.transform("entities", lambda e: F.concat_ws("=", e["type"], e["id"])), ",")
+    return found.select("o_orderkey", "rejected", listed.alias("entities"), "source", "shape")
+
+
 def browse_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entity_types(edges_of(facts(spark, sf_dir)))
 
@@ -227,6 +237,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "map_scan": map_scan,
     "map_union": map_union,
     "map_rules": map_rules,
+    "ingest_lines": ingest_lines,
     "browse_types": browse_types,
     "browse_list": browse_list,
     "facts_by_entity": facts_by_entity,
@@ -244,6 +255,7 @@ ORACLE_SQL: dict[str, str] = {
     "map_scan": "SELECT concat('C', o_custkey) AS C, concat('O', o_orderkey) AS O FROM orders WHERE o_orderpriority = '1-URGENT'",
     "map_union": "SELECT concat('S', s_suppkey) AS X, concat('N', s_nationkey) AS N FROM supplier UNION SELECT concat('C', c_custkey), concat('N', c_nationkey) FROM customer",
     "map_rules": "WITH RECURSIVE e AS (SELECT concat('S', s_suppkey) AS a, concat('N', s_nationkey) AS b FROM supplier UNION SELECT concat('N', n_nationkey), concat('R', n_regionkey) FROM nation), t AS (SELECT a, b FROM e UNION SELECT e.a, t.b FROM e JOIN t ON e.b = t.a) SELECT a AS X, b AS Y FROM t",
+    "ingest_lines": "SELECT o_orderkey, o_orderstatus = 'P' AS rejected, CASE o_orderstatus WHEN 'F' THEN concat('order=O', o_orderkey) WHEN 'O' THEN concat('order=O', o_orderkey, ',customer=C', o_custkey) END AS entities, CASE WHEN o_orderstatus = 'O' THEN o_orderpriority END AS source, CASE o_orderstatus WHEN 'F' THEN concat('order', chr(1)) WHEN 'O' THEN concat('order', chr(1), 'customer', chr(1)) END AS shape FROM orders",
     "browse_types": f"WITH {_EDGES_SQL} SELECT type, count(DISTINCT id) AS entities FROM e GROUP BY type",
     "browse_list": f"WITH {_EDGES_SQL} SELECT DISTINCT id FROM e WHERE type = 'nation'",
     "facts_by_entity": f"WITH {_EDGES_SQL} SELECT DISTINCT f AS fact_id FROM e WHERE type = 'status' AND id = 'P'",
