@@ -39,7 +39,7 @@ from factloom.llm.runtime import ship, small, table
 LENGTH = 200
 ANCHOR = 64
 #: Contexts sorted together, and classes of an anchor up to which they are sorted in one task.
-BLOCK = 50_000
+BLOCK = 20_000
 PLACE = ("at", "first", "last", "n", "stop")
 
 
@@ -134,15 +134,13 @@ def sort_columns(contexts: list[bytes], shift: np.ndarray, length: int, columns:
     round are read from a file, and those of the new one written to the next.
     """
     n = len(contexts)
-    sizes = np.array([len(c) for c in contexts])
     with tempfile.TemporaryFile() as symbols, tempfile.TemporaryFile() as one, tempfile.TemporaryFile() as two:
         grid = np.full((n, columns), 256, dtype=np.uint16)
-        flat = np.frombuffer(b"".join(contexts), dtype=np.uint8)
-        ends = np.cumsum(sizes)
-        row = np.repeat(np.arange(n), sizes)
-        grid[row, shift[row] + np.arange(len(flat)) - (ends - sizes)[row]] = flat
-        np.ascontiguousarray(grid.T[::-1]).tofile(symbols)
-        del grid, flat, row
+        for row, (context, column) in enumerate(zip(contexts, shift, strict=True)):
+            grid[row, column : column + len(context)] = np.frombuffer(context, dtype=np.uint8)
+        for column in range(columns - 1, -1, -1):
+            np.ascontiguousarray(grid[:, column]).tofile(symbols)
+        del grid
         symbols.seek(0)
         np.arange(n, dtype=np.int32).tofile(one)
         np.zeros(n, dtype=np.int32).tofile(one)
