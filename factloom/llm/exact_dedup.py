@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.llm.runtime import small, table
 
+#: Least number of runs; there are as many as shuffle partitions if these are more.
 RUNS = 64
 FAN_IN = 8
 
@@ -27,8 +28,9 @@ def _digests(docs: DataFrame) -> DataFrame:
     )
 
 
-def _groups(docs: DataFrame, keep: str, runs: int, fan_in: int) -> DataFrame:
+def _groups(docs: DataFrame, keep: str, runs: int | None, fan_in: int) -> DataFrame:
     """Every row's digests with keep (doc_id, row) and size of its group, written once."""
+    runs = runs or max(RUNS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     key = ["digest", "n_bytes", "check"]
     rows = table(_digests(docs).withColumn("run", F.pmod(F.xxhash64("row"), F.lit(runs)).cast("int")))
     leaf = rows.select("run", *key, F.struct("doc_id", "row").alias("keep"), F.lit(1).cast("long").alias("size"))
@@ -45,7 +47,7 @@ def _groups(docs: DataFrame, keep: str, runs: int, fan_in: int) -> DataFrame:
     return rows.join(done, ["run", *key], "left")
 
 
-def exact_groups(docs: DataFrame, keep: str = "largest", runs: int = RUNS, fan_in: int = FAN_IN) -> DataFrame:
+def exact_groups(docs: DataFrame, keep: str = "largest", runs: int | None = None, fan_in: int = FAN_IN) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal if all their bytes are; null counts as empty. Of equal texts the row with the
@@ -70,7 +72,7 @@ def exact_groups(docs: DataFrame, keep: str = "largest", runs: int = RUNS, fan_i
     )
 
 
-def drop_copies(docs: DataFrame, keep: str = "largest", runs: int = RUNS, fan_in: int = FAN_IN) -> DataFrame:
+def drop_copies(docs: DataFrame, keep: str = "largest", runs: int | None = None, fan_in: int = FAN_IN) -> DataFrame:
     """``docs`` without the rows that ``exact_groups`` doesn't keep, all columns unchanged.
 
     Rows to drop are found by doc_id and digest; where the same doc_id and text is on several rows,
@@ -81,9 +83,13 @@ def drop_copies(docs: DataFrame, keep: str = "largest", runs: int = RUNS, fan_in
     gone = found.groupBy(F.col("doc_id").alias("__dedup_id"), F.col("digest").alias("__dedup_digest")).agg(
         F.max(F.col("keep.row") == F.col("row")).alias("__dedup_stays"), F.count("*").alias("__dedup_n")
     )
-    gone = small(table(gone))
+    gone = table(gone)
+    unique = gone.filter("__dedup_n > 1").isEmpty()
+    gone = small(gone)
     marked = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__dedup_id")) & (F.unhex(F.sha2(text, 256)) == F.col("__dedup_digest")), "left")
     once = marked.filter("__dedup_n is null or (__dedup_stays and __dedup_n = 1)").select(docs.columns)
+    if unique:
+        return once
     repeated = marked.filter("__dedup_stays and __dedup_n > 1")
     first = repeated.groupBy("__dedup_id", "__dedup_digest").agg(F.first(F.struct(*docs.columns)).alias("__dedup_row")).select("__dedup_row.*")
     return once.unionByName(first)
