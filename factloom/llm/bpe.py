@@ -19,7 +19,7 @@ from factloom.llm.runtime import ship
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
 #: Entries of the newer of two generations of pieces seen before, and of pairs tested before.
-CACHED = 60_000
+CACHED = 200_000
 #: Texts encoded at a time.
 ROWS = 256
 
