@@ -33,7 +33,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import text as T
-from factloom.llm.near_dedup import _groups
 from factloom.llm.runtime import bucketed, id_text, ship, table
 
 FOLDS, HELD_OUT = 7, 2
@@ -179,7 +178,7 @@ def _count_of_counts(c: np.ndarray) -> list[float]:
 
 def _word_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Add up each bucket's words: a table row, its sums, and an answer (places and counts) to every message."""
-    for block, bucket, a, b, cuts in _groups(batches, ["bucket"], ["block", "bucket", "a", "b"]):
+    for block, bucket, a, b, cuts in T.whole_groups(batches, ["bucket"], ["block", "bucket", "a", "b"]):
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             number = bucket[lo].as_py()
             asked = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in a[lo:hi]]
@@ -277,7 +276,7 @@ def _pair_buckets(unigrams: Unigrams):
     """Add up each bucket's pairs: a table row, its sums, sums of its contexts, and an answer to every message."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, bucket, a, b, c, cuts in _groups(batches, ["bucket"], ["block", "bucket", "a", "b", "c"]):
+        for block, bucket, a, b, c, cuts in T.whole_groups(batches, ["bucket"], ["block", "bucket", "a", "b", "c"]):
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
                 number = bucket[lo].as_py()
                 contexts, followers, second, below, given = [], [], [], [], []

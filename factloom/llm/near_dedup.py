@@ -127,7 +127,7 @@ def _merge_lists(matches: int):
             yield np.stack([ids[label], ids], axis=1)[label != np.arange(len(part))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rep, signature, cuts in _groups(batches, ["token", "cell"], ["rep", "signature"]):
+        for rep, signature, cuts in T.whole_groups(batches, ["token", "cell"], ["rep", "signature"]):
             signatures = _matrix(signature)
             rep = rep.to_numpy(zero_copy_only=False)
             for found in pairs(rep, signatures, cuts):
@@ -138,34 +138,6 @@ def _merge_lists(matches: int):
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[str]) -> Iterator[tuple]:
-    """Columns of runs of whole groups, and where each group begins; rows come sorted by ``keys``."""
-
-    def cut(held: pa.Table) -> np.ndarray:
-        new = np.zeros(held.num_rows, dtype=bool)
-        new[:1] = True
-        for key in keys:
-            values = held.column(key).to_numpy()
-            new[1:] |= values[1:] != values[:-1]
-        return np.flatnonzero(new)
-
-    def out(held: pa.Table, cuts: np.ndarray) -> tuple:
-        whole = [held.column(c).combine_chunks() for c in columns]
-        return (*[c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in whole], np.append(cuts, held.num_rows))
-
-    held = None
-    for batch in batches:
-        more = pa.Table.from_batches([batch])
-        held = more if held is None else pa.concat_tables([held, more])
-        if held.num_rows:
-            cuts = cut(held)
-            if cuts[-1]:
-                yield out(held.slice(0, cuts[-1]), cuts[:-1])
-                held = held.slice(cuts[-1])
-    if held is not None and held.num_rows:
-        yield out(held, cut(held))
-
-
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,7 +176,7 @@ def _linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rep, shingles, cuts in _groups(batches, ["cluster", "cell"], ["rep", "shingles"]):
+        for rep, shingles, cuts in T.whole_groups(batches, ["cluster", "cell"], ["rep", "shingles"]):
             ids = rep.to_numpy(zero_copy_only=False)
             found = []
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):

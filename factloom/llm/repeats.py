@@ -33,7 +33,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm import text as T
-from factloom.llm.near_dedup import _groups
 from factloom.llm.runtime import ship, small, table
 
 LENGTH = 200
@@ -188,7 +187,7 @@ def _repeated(length: int, anchor: int, block: int):
             base = first[row] - (shift[row] + span)
             yield pa.RecordBatch.from_arrays([pa.array(uid[row]), pa.array(base + begin), pa.array(base + end - 1 + length)], ["uid", "from", "to"])
 
-        for single, uid, first, shift, context, _ in _groups(batches, ["anchor"], ["single", "uid", "first", "shift", "context"]):
+        for single, uid, first, shift, context, _ in T.whole_groups(batches, ["anchor"], ["single", "uid", "first", "shift", "context"]):
             texts = np.empty(len(context), dtype=object)
             texts[:] = context.to_pylist()
             numbers = [c.to_numpy(zero_copy_only=False) for c in (single, uid, first, shift)]
