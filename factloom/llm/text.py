@@ -112,10 +112,38 @@ def shingles(hashes: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray
 
 def distinct_sorted(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct values of each text in ascending order, and each text's first index."""
-    row = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    order = np.lexsort((values, row))
-    values, row = values[order], row[order]
+    values = values.copy()
+    for begin, end in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        values[begin:end].sort()
     fresh = np.ones(len(values), dtype=bool)
-    fresh[1:] = (values[1:] != values[:-1]) | (row[1:] != row[:-1])
-    values, row = values[fresh], row[fresh]
-    return values, np.searchsorted(row, np.arange(len(at)))
+    fresh[1:] = values[1:] != values[:-1]
+    fresh[at[:-1][at[:-1] < len(values)]] = True
+    return values[fresh], np.concatenate([[0], np.cumsum(fresh)])[at]
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[str]) -> Iterator[tuple]:
+    """Columns of runs of whole groups, and where each group begins; rows come sorted by ``keys``."""
+
+    def cut(held: pa.Table) -> np.ndarray:
+        new = np.zeros(held.num_rows, dtype=bool)
+        new[:1] = True
+        for key in keys:
+            values = held.column(key).to_numpy()
+            new[1:] |= values[1:] != values[:-1]
+        return np.flatnonzero(new)
+
+    def out(held: pa.Table, cuts: np.ndarray) -> tuple:
+        whole = [held.column(c).combine_chunks() for c in columns]
+        return (*[c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in whole], np.append(cuts, held.num_rows))
+
+    held = None
+    for batch in batches:
+        more = pa.Table.from_batches([batch])
+        held = more if held is None else pa.concat_tables([held, more])
+        if held.num_rows:
+            cuts = cut(held)
+            if cuts[-1]:
+                yield out(held.slice(0, cuts[-1]), cuts[:-1])
+                held = held.slice(cuts[-1])
+    if held is not None and held.num_rows:
+        yield out(held, cut(held))
