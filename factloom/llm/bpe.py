@@ -19,7 +19,7 @@ from factloom.llm.runtime import ship
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
 #: Entries of the newer of two generations of pieces seen before, and of pairs tested before.
-CACHED = 200_000
+CACHED = 150_000
 #: Texts encoded at a time.
 ROWS = 256
 
@@ -153,16 +153,6 @@ class Encoder(dict):
         return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def _encoder(definition: bytes) -> Encoder:
-    key = hashlib.sha256(definition).hexdigest()
-    if key not in _encoders:
-        _encoders[key] = Encoder(definition)
-    return _encoders[key]
-
-
 def encode_documents(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     """``docs`` with ids (array<int>) and decoded (string) in place of columns of these names.
 
@@ -178,7 +168,7 @@ def encode_documents(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     kept = [c for c in docs.columns if c not in ("ids", "decoded")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(definition.value)
+        encoder = Encoder(definition.value)  # made in a quarter of a second; kept, its caches would stay in an idle worker
         for batch in batches:
             n = batch.num_rows
             for row in range(0, n, ROWS):
