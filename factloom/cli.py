@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 
@@ -14,11 +15,15 @@ from factloom.sources.facts import FactStore, rejected_lines
 from factloom.sources.program import load_program
 
 USAGE = "usage: get [path] | ingest <file.jsonl> | datalog [--profile] <file.dl>"
-STORE = "./.factloom"
+STORE = ".factloom"
+
+
+def _store(spark: SparkSession) -> FactStore:
+    return FactStore(spark, f"file://{os.path.abspath(STORE)}")
 
 
 def _get(spark: SparkSession, path: str) -> int:
-    store = FactStore(spark, STORE)
+    store = _store(spark)
     entities, project = read_path(path)
     rows = get(store.edges, path).collect()
     if not rows:
@@ -41,14 +46,14 @@ def _ingest(spark: SparkSession, path: str) -> int:
     bad = rejected_lines(spark, path)
     for r in bad.limit(20).collect():
         print(f"not JSON, skipped: {r.value[:80]}", file=sys.stderr)
-    print(f"Ingested {FactStore(spark, STORE).ingest(path)} facts")
+    print(f"Ingested {_store(spark).ingest(path)} facts")
     return 0
 
 
 def _datalog(spark: SparkSession, path: str, profile: bool) -> int:
     program = load_program(path)
     print(f"Parsed {len(program.rules)} rules, {len(program.mappings)} mappings, {len(program.queries)} queries")
-    engine = Engine(spark, FactStore(spark, STORE).facts if program.mappings else None).load_file(path)
+    engine = Engine(spark, _store(spark).facts if program.mappings else None).load_file(path)
     began = time.time()
     for query, found in engine.results():
         print(f"?- {', '.join(map(str, query))}.")
