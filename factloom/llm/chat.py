@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from factloom.llm.runtime import table
+
 #: Messages up to which a conversation is one row for each participant.
 WINDOW_MESSAGES = 512
 #: Turn numbers in a window of a longer conversation.
@@ -47,7 +49,12 @@ def rotate_perspectives(conversations: DataFrame) -> DataFrame:
     long = long.filter(F.col("total") > WINDOW_MESSAGES).select(F.col("conv_id").alias("long_id"), "everyone", "parts")
 
     digest = F.md5(F.concat_ws("\u0000", "role", "text"))
-    rows = rows.withColumn("digest", digest).join(long, rows.conv_id.eqNullSafe(F.col("long_id")), "left")
+    long = table(long)
+    rows = rows.withColumn("digest", digest)
+    if long.isEmpty():
+        rows = rows.select("*", *[F.lit(None).cast(long.schema[c].dataType).alias(c) for c in ("everyone", "parts")])
+    else:
+        rows = rows.join(long, rows.conv_id.eqNullSafe(F.col("long_id")), "left")
     cut = F.col("everyone").isNotNull()
     share = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long")
     parts = F.coalesce(F.try_element_at("parts", slot), F.lit(1))
