@@ -2,35 +2,90 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from factloom.llm.runtime import table
+from factloom.llm.runtime import small, table
 
-#: Messages up to which a conversation is one row for each participant.
+#: Messages in a row at most.
 WINDOW_MESSAGES = 512
-#: Turn numbers in a window of a longer conversation.
+#: Turn numbers in a window of a conversation that takes more than one row.
 WINDOW_TURNS = 64
+#: The order of the messages of a conversation.
+ORDER = ("has_turn", "turn_no", "digest", "role")
+END = "<|im_end|>\n"
 
 
 def _opening(role: Column, perspective: Column) -> Column:
     return F.when(role == perspective, F.lit("<|im_start|>assistant\n")).otherwise(F.concat(F.lit("<|im_start|>user name="), role, F.lit("\n")))
 
 
+def _ordered(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` in the order of ``keys``, dealt out by range: ``row`` follows that order, ``task`` is its range."""
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    rows = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    return table(rows.withColumn("row", F.monotonically_increasing_id()).withColumn("task", F.shiftright("row", 33).cast("int")))
+
+
+def _with_earlier(ordered: DataFrame, group: list[str], **values: str) -> DataFrame:
+    """Add the sums of ``values`` over the earlier rows of a group. A task reads the rows of one range, or one row of each."""
+    ranges = Window.partitionBy(*group).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*group, "task").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda value, window: F.coalesce(F.sum(value).over(window), F.lit(0))
+    totals = ordered.groupBy(*group, "task").agg(*[F.sum(v).alias(f"__{k}") for k, v in values.items()])
+    totals = totals.select(*group, "task", *[before(f"__{k}", ranges).alias(f"__{k}") for k in values])
+    added = ordered.join(totals, [*group, "task"]).withColumns({k: before(v, within) + F.col(f"__{k}") for k, v in values.items()})
+    return added.drop(*[f"__{k}" for k in values])
+
+
+def _cut(rows: DataFrame) -> DataFrame:
+    """The long conversations of ``rows`` (with ``conv_no``) as conv_id, window, part, messages, perspective, start.
+
+    Order, cuts and lengths come from rows without texts; a text is dealt out once to drop repeats and once to its part.
+    """
+    rows = rows.withColumn("has_turn", F.col("turn").isNotNull()).withColumn("turn_no", F.coalesce("turn", F.lit(0)))
+    slim = rows.select("conv_no", *ORDER, F.length("text").alias("n_text")).dropDuplicates(["conv_no", *ORDER])
+    slot = F.floor(F.col("turn_no") / WINDOW_TURNS)
+    least = F.coalesce(F.min(F.when(F.col("has_turn"), slot)), F.lit(0))
+    totals = slim.groupBy("conv_no").agg(F.count("*").alias("total"), least.alias("least"))
+    slim = table(slim).join(small(table(totals)), "conv_no")
+    slim = slim.withColumn("window", F.when(F.col("total") <= WINDOW_MESSAGES, 0).when(F.col("has_turn"), slot).otherwise(F.col("least")).cast("long"))
+    # Length where the role is another participant's; as the assistant's it is shorter by the role and a line end.
+    slim = slim.withColumn("length", (F.length(_opening(F.col("role"), F.lit(None))) + F.col("n_text") + len(END)).cast("long")).withColumn("one", F.lit(1))
+    slim = _with_earlier(_ordered(slim.drop("n_text", "total", "least"), "conv_no", *ORDER), ["conv_no", "window"], one_before="one")
+    slim = slim.withColumn("first", F.when(F.col("one_before") % WINDOW_MESSAGES == 0, 1).otherwise(0))
+    slim = table(_with_earlier(table(slim), ["conv_no"], at="length", firsts="first").withColumn("part", F.col("firsts") + F.col("first") - 1))
+
+    people = small(table(slim.select("conv_no", F.col("role").alias("perspective")).distinct()))
+    parts = slim.groupBy("conv_no", "part").agg(F.min("at").alias("at"))
+    own = slim.groupBy("conv_no", "part", F.col("role").alias("perspective")).agg(F.count("*").alias("own"))
+    starts = parts.join(people, "conv_no").join(own, ["conv_no", "part", "perspective"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    starts = _with_earlier(_ordered(starts, "conv_no", "perspective", "part"), ["conv_no", "perspective"], own_before="own")
+    shorter = F.length(_opening(F.col("perspective"), F.lit(None))) - F.length(_opening(F.col("perspective"), F.col("perspective")))
+    starts = starts.select("conv_no", "part", "perspective", (F.col("at") - F.col("own_before") * shorter).alias("start"))
+
+    whole = rows.dropDuplicates(["conv_no", *ORDER]).join(slim.select("conv_no", *ORDER, "window", "part"), ["conv_no", *ORDER])
+    message = F.struct("turn", "digest", "role", "text")
+    grouped = whole.groupBy("conv_no", "part").agg(F.first("conv_id").alias("conv_id"), F.first("window").alias("window"), F.sort_array(F.collect_list(message)).alias("messages"))
+    return grouped.join(starts, ["conv_no", "part"]).select("conv_id", "window", "part", "messages", "perspective", "start")
+
+
 def rotate_perspectives(conversations: DataFrame) -> DataFrame:
     """conv_id, perspective, window, part, n_messages, rendered, mask_spans, n_masked.
 
     For every participant (distinct role) of a conversation its messages are rendered in the order
     of their turns, that participant as ``assistant`` and each other one as ``user`` with its name.
-    mask_spans lists the ``start:end`` code points of ``rendered`` that are learned: the texts and
+    mask_spans lists the ``start:end`` code points of that rendering that are learned: the texts and
     end marks of the assistant; n_masked is their sum.
 
     Equal turns are ordered by the MD5 of role and text. A row that repeats as a whole is one
     message. Null text is empty, a null role is ``unknown``, a null turn comes first, and rows
-    without conv_id are one conversation. A conversation of more than ``WINDOW_MESSAGES`` messages
-    is given as consecutive windows of ``WINDOW_TURNS`` turn numbers, so that no row grows with it;
-    a window that is itself larger is dealt into parts by the same MD5. Each of them still has a row
-    for every participant of the whole conversation. Columns other than the four are not read.
+    without conv_id are one conversation. So that no row grows with its conversation, a rendering
+    is given in rows of at most ``WINDOW_MESSAGES`` messages, cut from that one order: ``part`` counts
+    them from 0, and ``rendered`` and mask_spans joined in the order of part are those of the whole
+    conversation, as the spans count from its beginning. A conversation that takes more than one row is also
+    cut between windows of ``WINDOW_TURNS`` turn numbers (null ones belong to the first); any other
+    has window 0. Columns other than the four are not read.
     """
     rows = conversations.select(
         F.col("conv_id"),
@@ -38,38 +93,22 @@ def rotate_perspectives(conversations: DataFrame) -> DataFrame:
         F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    slot = F.coalesce(F.floor(F.col("turn") / WINDOW_TURNS), F.lit(-1)).cast("long")
-
-    counted = rows.groupBy("conv_id", slot.alias("slot")).agg(F.count("*").alias("n"), F.collect_set("role").alias("roles"))
-    long = counted.groupBy("conv_id").agg(
-        F.sum("n").alias("total"),
-        F.array_distinct(F.flatten(F.collect_set("roles"))).alias("everyone"),
-        F.map_from_entries(F.collect_list(F.when(F.col("n") > WINDOW_MESSAGES, F.struct("slot", F.ceil(F.col("n") / WINDOW_MESSAGES).alias("parts"))))).alias("parts"),
-    )
-    long = long.filter(F.col("total") > WINDOW_MESSAGES).select(F.col("conv_id").alias("long_id"), "everyone", "parts")
-
-    digest = F.md5(F.concat_ws("\u0000", "role", "text"))
-    long = table(long)
-    rows = rows.withColumn("digest", digest)
-    if long.isEmpty():
-        rows = rows.select("*", *[F.lit(None).cast(long.schema[c].dataType).alias(c) for c in ("everyone", "parts")])
-    else:
-        rows = rows.join(long, rows.conv_id.eqNullSafe(F.col("long_id")), "left")
-    cut = F.col("everyone").isNotNull()
-    share = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long")
-    parts = F.coalesce(F.try_element_at("parts", slot), F.lit(1))
-    rows = rows.select(
-        "conv_id",
-        F.when(cut, slot).otherwise(F.lit(0)).cast("long").alias("window"),
-        F.when(cut, F.floor(share * parts / F.lit(1 << 32))).otherwise(F.lit(0)).cast("long").alias("part"),
-        F.struct("turn", "digest", "role", "text").alias("message"),
-        "everyone",
+    rows = rows.withColumn("digest", F.md5(F.concat_ws("\u0000", "role", "text")))
+    # Repeats count here, so that this needs no texts: _cut() leaves in one row what has fewer messages than that.
+    long = rows.groupBy("conv_id").agg(F.count("*").alias("n")).filter(F.col("n") > WINDOW_MESSAGES)
+    long = table(long.select(F.col("conv_id").alias("long_id"), F.monotonically_increasing_id().alias("conv_no")))
+    some = not long.isEmpty()
+    is_long = rows.conv_id.eqNullSafe(F.col("long_id"))
+
+    short = rows.join(small(long), is_long, "left_anti") if some else rows
+    message = F.struct("turn", "digest", "role", "text")
+    turned = short.groupBy("conv_id").agg(F.sort_array(F.collect_set(message)).alias("messages")).select(
+        "conv_id", F.lit(0).cast("long").alias("window"), F.lit(0).cast("long").alias("part"), "messages", F.explode(F.array_distinct("messages.role")).alias("perspective"), F.lit(0).cast("long").alias("start")
     )
-    grouped = rows.groupBy("conv_id", "window", "part").agg(F.sort_array(F.collect_set("message")).alias("messages"), F.first("everyone").alias("everyone"))
-    people = F.coalesce("everyone", F.array_distinct("messages.role"))
-    turned = grouped.select("conv_id", "window", "part", "messages", F.explode(people).alias("perspective"))
+    if some:
+        turned = turned.unionByName(_cut(rows.join(small(long), is_long).drop("long_id")))
 
-    end = F.lit("<|im_end|>\n")
+    end = F.lit(END)
     me = F.col("perspective")
     rendered = F.array_join(F.transform("messages", lambda m: F.concat(_opening(m["role"], me), m["text"], end)), "")
 
@@ -84,7 +123,7 @@ def rotate_perspectives(conversations: DataFrame) -> DataFrame:
             (state["n"] + F.when(mine, stop - begin).otherwise(F.lit(0))).cast("long").alias("n"),
         )
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("spans"), F.lit(0).cast("long").alias("n"))
+    start = F.struct(F.col("start").alias("at"), F.array().cast("array<string>").alias("spans"), F.lit(0).cast("long").alias("n"))
     walked = F.aggregate("messages", start, step)
     return turned.select(
         "conv_id", "perspective", "window", "part", F.size("messages").cast("long").alias("n_messages"), rendered.alias("rendered"), walked.alias("walked")

@@ -31,6 +31,30 @@ def test_long_conversation(spark):
     assert re.findall(r"m(\d+)<", text) == [str(t) for t in range(64, 700)]
 
 
+def test_long_conversations_are_the_oracles_in_parts(spark, tmp_path):
+    """Tied, null, negative and far turns, repeated rows and a null conv_id: the parts joined are the whole rendering of the SQL."""
+    import duckdb
+
+    rng = random.Random(7)
+    rows = [(conv, rng.choice([None, -70, 0, 1, 1, 2, 63, 64, 500]), rng.choice([None, "ann", "bob", "ü"]), f"{'é' * rng.randint(0, 5)}{k}") for conv in (None, 1) for k in range(2500)]
+    rows += rows[:700] + [(1, 5000, "late", "last")] + [(2, 70, "ann", f"m{k % 300}") for k in range(900)] + [(3, None, "ann", f"n{k}") for k in range(600)] + [(4, 70, None, None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5).write.parquet(str(tmp_path / "c"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/c/*.parquet'")
+    want = {r[:2]: r[2:] for r in con.execute(f"SELECT conv_id, perspective, rendered, mask_spans, n_messages, n_masked FROM ({chat.ORACLE_SQL})").fetchall()}
+    found = {}
+    for r in chat.rotate_perspectives(spark.read.parquet(str(tmp_path / "c"))).collect():
+        found.setdefault((r.conv_id, r.perspective), []).append(r)
+    assert found.keys() == want.keys()
+    for key, parts in found.items():
+        parts.sort(key=lambda r: r.part)
+        assert [r.part for r in parts] == list(range(len(parts))) and parts == sorted(parts, key=lambda r: (r.window, r.part))
+        assert max(r.n_messages for r in parts) <= chat.WINDOW_MESSAGES
+        joined = ("".join(r.rendered for r in parts), ",".join(r.mask_spans for r in parts if r.mask_spans), sum(r.n_messages for r in parts), sum(r.n_masked for r in parts))
+        assert joined == want[key]
+    assert [(r.window, r.n_messages) for r in found[2, "ann"]] == [(0, 300)] and len(found[3, "ann"]) == 2
+
+
 def spans(text):
     found = []
     for order, rule in enumerate((*secrets.BASE_RULES, *secrets.MORE_RULES)):
