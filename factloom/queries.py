@@ -22,7 +22,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: predicate: (table, argument expressions, condition). The same text serves Spark and DuckDB.
+#: predicate: (table, argument expressions, condition). The same text serves Spark and DuckDB, but see _next_turn.
 RELATIONS: dict[str, tuple[str, tuple[str, ...], str]] = {
     "cust_nation": ("customer", ("concat('C', c_custkey)", "concat('N', c_nationkey)"), ""),
     "cust_segment": ("customer", ("concat('C', c_custkey)", "c_mktsegment"), ""),
@@ -45,11 +45,27 @@ RELATIONS: dict[str, tuple[str, tuple[str, ...], str]] = {
 }
 
 
+def _next_turn(conversations: DataFrame) -> DataFrame:
+    """Every turn with the next one of its conversation, as the rows have them, at any number.
+
+    The SQL above follows turn numbers and stops at a fixed one; of it, only the end that it leaves open
+    is kept: below that number the last turn of a conversation links to the number after it.
+    """
+    name = lambda turn: F.concat(F.lit("T"), "conv_id", F.lit("."), turn)
+    turns = conversations.filter("turn IS NOT NULL").select("conv_id", "turn").distinct()
+    following = F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
+    turns = turns.withColumn("following", F.coalesce(following, F.when(F.expr(RELATIONS["next_turn"][2]), F.col("turn") + 1)))
+    return turns.select(name(F.col("turn")).alias("a0"), name(F.col("following")).alias("a1"))
+
+
 def _engine(spark: SparkSession, sf_dir: str, *names: str) -> Engine:
     engine = Engine(spark)
     for name in names:
         source, columns, where = RELATIONS[name]
         rows = _read(spark, sf_dir, source)
+        if name == "next_turn":
+            engine.register(name, _next_turn(rows))
+            continue
         rows = rows.filter(where) if where else rows
         engine.register(name, rows.select(*[F.expr(c).alias(f"a{i}") for i, c in enumerate(columns)]))
     return engine
@@ -133,7 +149,7 @@ def tc_cycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     same = Window.partitionBy("conv_id")
     turn = lambda c: F.concat(F.lit("T"), "conv_id", F.lit("."), c)
     following = F.coalesce(F.lead("turn").over(same.orderBy("turn")), F.min("turn").over(same))
-    ring = _read(spark, sf_dir, "conversations").filter("turn < 8").select(turn(F.col("turn")).alias("a"), turn(following).alias("b"))
+    ring = _read(spark, sf_dir, "conversations").filter("turn IS NOT NULL").select(turn(F.col("turn")).alias("a"), turn(following).alias("b"))
     engine = Engine(spark).register("linked", ring).load("same(X, Y) :- linked(X, Y). same(X, Z) :- linked(X, Y), same(Y, Z).")
     return engine.query("same(X, Y)")
 
