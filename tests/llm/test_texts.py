@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 
 from factloom.llm import bpe, fingerprint, katz, langid, mixing, repeats
+from factloom.llm import text as T
 from factloom.llm.queries import tokenizer_file
 
 EDGE = [(None, "Hello wörld"), (1000001, None), (1000002, ""), (3, "x y z"), (3, "x y z"), (1000003, "  \n"), (1000004, "ab " * 60_000), (1000005, "!!!")]
@@ -145,53 +146,93 @@ def test_mix(spark):
     assert mixing.mix_sources(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
 
 
-def plain_katz(rows):
+def plain_discounts(counts):
+    """Good-Turing shares d(1..5) of counts of counts, with half a count off where they are out of range."""
+    n = Counter(counts)
+    d = {}
+    for r in range(1, 6):
+        d[r] = (r - 0.5) / r
+        if n[1] and n[r]:
+            k = 6 * n[6] / n[1]
+            if k < 1 and 0 < (x := ((r + 1) * n[r + 1] / n[r] / r - k) / (1 - k)) < 1:
+                d[r] = x
+    return lambda c: c * d.get(c, 1.0)
+
+
+class PlainKatz:
+    """Katz backoff over dictionaries, recursive per token."""
+
+    def __init__(self, texts, order):
+        self.seen, self.order = [defaultdict(Counter) for _ in range(order)], order
+        for own in texts:
+            for i, w in enumerate(own):
+                for k in range(order):
+                    if (h := self.context(own, i, k)) is not None:
+                        self.seen[k][h][w] += 1
+        self.take = [plain_discounts([c for after in s.values() for c in after.values()]) for s in self.seen]
+
+    @staticmethod
+    def context(own, i, k):
+        """The k words before the i-th, the first of which follows an end; None where the text is too short for that."""
+        if k == 0:
+            return ()
+        before = (None, *own[:i])
+        return before[-k:] if len(before) >= k else None
+
+    def p(self, w, h):
+        k = len(h)
+        if k and h not in self.seen[k]:
+            return self.p(w, h[1:])
+        after = self.seen[k].get(h, Counter())
+        left = sum(c - self.take[k](c) for c in after.values())
+        total = sum(after.values()) + (not any(c <= 5 for c in after.values()))
+        if w in after:
+            return self.take[k](after[w]) / total
+        left += not any(c <= 5 for c in after.values())
+        if not k:
+            return left / total
+        return left / total / (1 - sum(self.p(x, h[1:]) for x in after)) * self.p(w, h[1:])
+
+
+def plain_katz(rows, order):
     tokens = lambda t: [*(re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")), None]
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
-    one, two = Counter(), Counter()
-    for i, t in rows:
-        if not held(i):
-            own = tokens(t)
-            one.update(own)
-            two.update(zip([None, *own[:-1]], own, strict=True))
+    model = PlainKatz([tokens(t) for i, t in rows if not held(i)], order)
+    one = model.seen[0][()]
     total, types = sum(one.values()), len(one)
-    counts = lambda c: np.array([0] + [sum(x == r for x in c.values()) for r in range(1, 7)], float)
-    words, d = katz.Unigrams.of(total, types, counts(one)), katz.discounts(counts(two))
-    after = defaultdict(dict)
-    for (a, b), c in two.items():
-        after[a][b] = c
-    lower = lambda w: float(words.p(np.array([one[w]]))[0])
-
-    def p(b, a):
-        if not one[a]:
-            return lower(b)
-        own = after[a]
-        left = sum((1 - d[c]) * c for c in own.values() if c <= 5)
-        over = one[a] + (left <= 0)
-        if b in own:
-            return (d[own[b]] if own[b] <= 5 else 1) * own[b] / over
-        return (left + (left <= 0)) / over / (1 - sum(map(lower, own))) * lower(b)
-
-    for a in [*list(one)[:20], None]:
-        assert abs(sum(p(b, a) for b in one) + p("\0", a) - 1) < 1e-9
+    for k in range(order):  # every order sums to one over the words and the class of unseen ones
+        for h in list(model.seen[k])[:12]:
+            assert abs(sum(model.p(w, h) for w in [*one, "\0"]) - 1) < 1e-9
     out = []
     for i, t in rows:
         own = tokens(t)
+        contexts = [next(h for k in range(order - 1, -1, -1) if (h := model.context(own, j, k)) is not None) for j in range(len(own))]
         base = sum(math.log10((one[w] + 1) / (total + types + 1)) for w in own)
-        out.append((i, held(i), len(own), sum(one[w] > 0 for w in own), total, base, sum(math.log10(p(b, a)) for a, b in zip([None, *own[:-1]], own, strict=True))))
+        out.append((i, held(i), len(own), sum(one[w] > 0 for w in own), total, base, sum(math.log10(model.p(w, h)) for w, h in zip(own, contexts, strict=True))))
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"block_bytes": 3000, "hot": 64}])
+@pytest.mark.parametrize("options", [{}, {"order": 2}, {"block_bytes": 2500, "hot": 64, "bits": 2}, {"block_bytes": 9000, "bits": 2, "order": 4}])
 def test_katz(spark, options):
     rng = random.Random(9)
     vocabulary = [f"w{int(rng.paretovariate(0.8))}" for _ in range(300)] + ["The", "É"]
     rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(0, 60)))) for i in range(300)] + [e for e in EDGE if e[0] != 1000004]
+    rows += [(2000 + i, "one pair of words and then w%d more" % i) for i in range(60)]
     key = lambda r: (r[0] is None, r[0] or 0, *r[2:4], round(r[6], 6))
     found = sorted((tuple(r) for r in katz.score_documents(frame(spark, rows), **options).collect()), key=key)
-    want = sorted(plain_katz(rows), key=key)
+    want = sorted(plain_katz(rows, options.get("order", katz.ORDER)), key=key)
     assert [r[:5] for r in found] == [r[:5] for r in want]
-    assert np.allclose([r[5:] for r in found], [r[5:] for r in want])
+    assert np.allclose([r[5:] for r in found], [r[5:] for r in want], rtol=1e-9)
+
+
+def test_word_hashes_have_no_structure():
+    """Two words that every polynomial modulo a power of two maps to one value."""
+    one, two = "a", "b"
+    for _ in range(10):
+        one, two = one + two, two + one
+    column = katz.pa.array([one, two, "Ab\0", "ab", "abcdefgh", "abcdefgh\0"])
+    hashes = np.concatenate([T.word_hashes(d, o)[0] for _, d, o in T.chunks(column)])
+    assert len(np.unique(hashes)) == 6
 
 
 def test_katz_without_rows(spark):
