@@ -41,7 +41,7 @@ from factloom.llm import text as T
 from factloom.llm.runtime import bucketed, id_text, ship, table
 
 FOLDS, HELD_OUT = 7, 2
-ORDER = 3
+ORDER = 2
 BLOCK_BYTES = 4 << 20
 CUT = 5
 HOT = 4096
