@@ -25,27 +25,26 @@ def _store(spark: SparkSession) -> FactStore:
 def _get(spark: SparkSession, path: str) -> int:
     store = _store(spark)
     entities, project = read_path(path)
-    rows = get(store.edges, path).collect()
-    if not rows:
-        print("(no matching facts)" if entities else "(empty store)")
-    if entities and project is None:
-        last = None
-        for r in rows:
+    rows, none, last = get(store.edges, path).toLocalIterator(), True, None
+    for r in rows:
+        none = False
+        if entities and project is None:
             if r.type != last:
                 print(f"{r.type}/")
                 last = r.type
             print(f"  {r.id}")
-        print(f"{matching_facts(store.edges, entities).count()} facts")
-    else:
-        for r in rows:
+        else:
             print(f"{r.type}/ ({r.entities})" if "type" in r else r.id)
+    if none:
+        print("(no matching facts)" if entities else "(empty store)")
+    if entities and project is None:
+        print(f"{matching_facts(store.edges, entities).count()} facts")
     return 0
 
 
 def _ingest(spark: SparkSession, path: str) -> int:
-    bad = rejected_lines(spark, path)
-    for r in bad.limit(20).collect():
-        print(f"not JSON, skipped: {r.value[:80]}", file=sys.stderr)
+    for r in rejected_lines(spark, path).toLocalIterator():
+        print(f"{os.path.basename(r.file)} line {r.line}: not JSON, skipped: {r.value[:80]}", file=sys.stderr)
     print(f"Ingested {_store(spark).ingest(path)} facts")
     return 0
 
@@ -54,16 +53,17 @@ def _datalog(spark: SparkSession, path: str, profile: bool) -> int:
     program = load_program(path)
     print(f"Parsed {len(program.rules)} rules, {len(program.mappings)} mappings, {len(program.queries)} queries")
     engine = Engine(spark, _store(spark).facts if program.mappings else None).load_file(path)
+    if profile:
+        print(f"{len(engine.relations())} relations")
     began = time.time()
     for query, found in engine.results():
         print(f"?- {', '.join(map(str, query))}.")
-        rows = sorted(map(tuple, found.collect()))
-        for row in rows:
+        count = 0
+        for row in found.orderBy(*found.columns).toLocalIterator() if found.columns else found.collect():  # of the latter at most one
             print("  " + (", ".join(f"{c} = {v}" for c, v in zip(found.columns, row, strict=True)) or "true"))
-        print(f"  ({len(rows)} results)" if rows else "  (no results)")
+            count += 1
+        print(f"  ({count} results)" if count else "  (no results)")
     print(f"Evaluated in {(time.time() - began) * 1000:.0f} ms")
-    if profile:
-        print(f"{len({r.head.name for r in program.rules})} relations")
     return 0
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,7 @@ from factloom.plans.clauses import Atom, Comparison, Program, Rule, Var
 from factloom.sources.facts import with_shape
 from factloom.sources.mapping import mapped
 from factloom.sources.program import load_program, read_program
+from factloom.staging import table
 
 
 class Engine:
@@ -30,6 +32,7 @@ class Engine:
         self.program = Program()
         self._registered: dict[str, DataFrame] = {}
         self._done: dict[str, DataFrame] = {}
+        self._written: set[str] = set()  # those of _done that are a table already
 
     def register(self, name: str, rows: DataFrame) -> Engine:
         """Make a DataFrame the predicate ``name``, its columns the arguments."""
@@ -37,6 +40,7 @@ class Engine:
         texts = texts.dropna()
         self._registered[name] = self._registered[name].unionByName(texts) if name in self._registered else texts
         self._done.clear()
+        self._written.clear()
         return self
 
     def load(self, source: str, folder: str = ".") -> Engine:
@@ -49,6 +53,7 @@ class Engine:
     def _add(self, program: Program) -> Engine:
         self.program.extend(program)
         self._done.clear()
+        self._written.clear()
         self._arity()
         for rule in self.program.rules:
             check_safety(rule)
@@ -77,6 +82,10 @@ class Engine:
         self._evaluate({name})
         return self._done[name]
 
+    def relations(self) -> list[str]:
+        """Names of all predicates that something defines: registered, mapped, ground or derived."""
+        return sorted({*self._registered, *(m.name for m in self.program.mappings), *(r.head.name for r in self.program.rules)})
+
     def save(self, name: str, folder: str) -> None:
         """Write a predicate's rows as Parquet, for ``restore`` in this or another engine."""
         distinct(self.relation(name)).write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
@@ -89,7 +98,8 @@ class Engine:
         for name in names:
             distinct(self.relation(name)).createOrReplaceTempView(name)
 
-    def _evaluate(self, wanted: set[str]) -> None:
+    def _evaluate(self, wanted: set[str], used: Counter | None = None) -> None:
+        """Have the relations ``wanted``, which the question uses so often. A derived one that is used more than once is written once."""
         rules = [r for r in self.program.rules if r.body]
         arity = self._arity()
         needed, todo = set(), list(wanted)
@@ -99,6 +109,7 @@ class Engine:
                 needed.add(name)
                 todo += [a.name for r in rules if r.head.name == name for a in r.positive + r.negative]
         heads = {r.head.name for r in rules}
+        uses = Counter(used or ()) + Counter(a.name for r in rules if r.head.name in needed for a in r.positive + r.negative)
         plain = needed - heads
         for name in plain - self._done.keys():
             base = self._base(name)
@@ -112,14 +123,21 @@ class Engine:
             if any(a.name in group for r in own for a in r.positive):
                 if (edges := closure_of(own, bool(base))) is not None:
                     self._done[group[0]] = closure(self.spark, self._done[edges], self.most_rounds)
+                    self._written.add(group[0])
                     continue
-                used = {a.name for r in own for a in r.positive + r.negative} - set(group)
-                inputs = staged({n: self._done[n] for n in used}, used, plain)
+                others = {a.name for r in own for a in r.positive + r.negative} - set(group)
+                inputs = staged({n: self._done[n] for n in others}, others, plain | self._written)
+                self._written |= others - plain
                 self._done |= inputs
                 self._done |= fixpoint(self.spark, group, own, inputs, base, self.most_rounds)
+                self._written |= set(group)
             else:
                 parts = [*base.values(), *(derived(self.spark, r, lambda a, _: self._done[a.name]) for r in own)]
-                self._done[group[0]] = distinct(reduce(DataFrame.unionByName, parts))
+                rows = distinct(reduce(DataFrame.unionByName, parts))
+                if uses[group[0]] > 1 and rows.columns:
+                    rows = table(rows)
+                    self._written.add(group[0])
+                self._done[group[0]] = rows
 
     def query(self, query: str | tuple[Atom | Comparison, ...]) -> DataFrame:
         """Distinct bindings of a query (``a(X), not b(X), X != "c"``), a column for each named variable.
@@ -133,9 +151,10 @@ class Engine:
         self._arity(query)
         if (bound := self._bound_closure(query)) is not None:
             return answers(self.spark, query, lambda a, _: bound)
-        names = {a.name for a in query if isinstance(a, Atom)}
+        used = Counter(a.name for a in query if isinstance(a, Atom))
+        names = set(used)
         arity = {a.name: len(a.terms) for a in query if isinstance(a, Atom)}
-        self._evaluate(names)
+        self._evaluate(names, used)
         relations = {n: self._done[n] for n in names}
         for n, k in arity.items():
             if len(relations[n].columns) != k:

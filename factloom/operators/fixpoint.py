@@ -45,47 +45,71 @@ def closure(spark: SparkSession, edges: DataFrame, most_rounds: int = MOST_ROUND
 
     A round joins all pairs so far with those that are exactly as far apart as the longest of them, so
     a pair is derived once for each of its midpoints at that distance, not for all of its midpoints.
+    Rounds work on numbers, which stand for the nodes: each node gets the hash of its text, and where two
+    texts had the same hash, its rank among all nodes.
     """
-    steps = write(edges.distinct())
-    read = lambda *paths: spark.read.schema(edges.schema).parquet(*paths)
-    join = lambda left, right: left.selectExpr("c0", "c1 AS m").join(right.selectExpr("c0 AS m", "c1"), "m").select("c0", "c1").distinct()
+    nodes = table(edges.select(F.explode(F.array("c0", "c1")).alias("text")).distinct().withColumn("node", F.xxhash64("text")))
+    if not nodes.groupBy("node").count().filter("count > 1").isEmpty():
+        nodes = table(nodes.orderBy("text").select("text", F.monotonically_increasing_id().alias("node")))
+    named = lambda rows, name: rows.join(nodes.select(F.col("text").alias(name), F.col("node").alias(f"{name}_no")), name)
+    steps = write(named(named(edges.distinct(), "c0"), "c1").select(F.col("c0_no").alias("a"), F.col("c1_no").alias("b")))
+    read = lambda *paths: spark.read.schema("a long, b long").parquet(*paths)
+    join = lambda left, right: left.select("a", F.col("b").alias("m")).join(right.select(F.col("a").alias("m"), "b"), "m").select("a", "b").distinct()
     paths, far = [steps], read(steps)
     for _ in range(most_rounds):
-        new = write(join(read(*paths), far).join(read(*paths), ["c0", "c1"], "left_anti"))
+        new = write(join(read(*paths), far).join(read(*paths), ["a", "b"], "left_anti"))
         if read(new).isEmpty():
-            return read(*paths)
+            rows = read(*paths)
+            for number, name in (("a", "c0"), ("b", "c1")):
+                rows = rows.join(nodes.select(F.col("node").alias(number), F.col("text").alias(name)), number).drop(number)
+            return rows.select("c0", "c1")
         paths.append(new)
-        far = table(join(far, far).join(read(new), ["c0", "c1"], "left_semi"))
+        far = table(join(far, far).join(read(new), ["a", "b"], "left_semi"))
     raise NoFixpoint(f"no closure after {most_rounds} rounds")
 
 
+#: Rounds of ``reached`` after which its steps double in length.
+SAME_STEP = 8
+
+
 def reached(spark: SparkSession, edges: DataFrame, start: str, forward: bool = True, most_rounds: int = MOST_ROUNDS) -> DataFrame:
     """The pairs of the closure of ``edges`` that have ``start`` first (or last, if not ``forward``), without the rest of it.
 
-    A round follows the edges of the nodes met in the last one.
+    A round follows the edges of the nodes met in the last one. After every ``SAME_STEP`` rounds the
+    steps are joined with themselves, so a chain of n edges takes a logarithmic number of rounds.
     """
     here, there = ("c0", "c1") if forward else ("c1", "c0")
     schema = "node string"
     read = lambda *paths: spark.read.schema(schema).parquet(*paths)
     paths = [write(edges.filter(F.col(here) == start).select(F.col(there).alias("node")).distinct())]
-    for _ in range(most_rounds):
+    for n in range(1, most_rounds + 1):
         if read(paths[-1]).isEmpty():
             pairs = read(*paths).select(F.lit(start).alias(here), F.col("node").alias(there))
             return pairs.select("c0", "c1")
+        if n % SAME_STEP == 0:
+            twice = edges.selectExpr("c0", "c1 AS m").join(edges.selectExpr("c0 AS m", "c1"), "m").select("c0", "c1")
+            edges = table(edges.unionByName(twice).distinct())
         step = edges.join(read(paths[-1]).withColumnRenamed("node", here), here).select(F.col(there).alias("node")).distinct()
         paths.append(write(step.join(read(*paths), "node", "left_anti")))
     raise NoFixpoint(f"nodes from {start} not all met after {most_rounds} rounds")
 
 
+#: Tables of a predicate's rounds that are merged to one; a row is written again a logarithmic number of times.
+MERGED = 6
+
+
 def fixpoint(spark: SparkSession, group: list[str], rules: list[Rule], relations: dict[str, DataFrame], base: dict[str, DataFrame], most_rounds: int = MOST_ROUNDS) -> dict[str, DataFrame]:
     """Relations of mutually recursive predicates, given those of all others and base rows of their own.
 
     Each round evaluates every rule once for each recursive atom of its body, with that atom reading
     the rows new in the last round and the others all rows so far; what is not there yet is written
-    as the next new rows. All rows so far are one scan over the files of the rounds.
+    as the next new rows. All rows so far are one scan over the files of the rounds, of which
+    ``MERGED`` of one size are merged as they come.
     """
     paths: dict[str, list[str]] = {p: [] for p in group}
+    sizes: dict[str, list[int]] = {p: [] for p in group}  # rounds in each of the paths
     schema: dict[str, str] = {}
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def all_of(p: str) -> DataFrame:
         return spark.read.schema(schema[p]).parquet(*paths[p])
@@ -101,6 +125,10 @@ def fixpoint(spark: SparkSession, group: list[str], rules: list[Rule], relations
             new[p] = (path, spark.read.schema(schema[p]).parquet(path))
         for p, (path, _) in new.items():
             paths[p].append(path)
+            sizes[p].append(1)
+            while len(sizes[p]) >= MERGED and len(set(sizes[p][-MERGED:])) == 1:
+                merged = write(spark.read.schema(schema[p]).parquet(*paths[p][-MERGED:]).coalesce(parts))
+                paths[p][-MERGED:], sizes[p][-MERGED:] = [merged], [sizes[p][-1] * MERGED]
         return {p: rows for p, (_, rows) in new.items() if not rows.isEmpty()}
 
     first = {p: [base[p]] if p in base else [] for p in group}

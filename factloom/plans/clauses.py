@@ -14,6 +14,11 @@ class Var:
 Term = Var | str
 
 
+def shown(term: Term) -> str:
+    """A term as a program has it."""
+    return f'"{term}"' if isinstance(term, str) else "_" if term.name.startswith("_#") else term.name
+
+
 @dataclass(frozen=True)
 class Atom:
     name: str
@@ -21,8 +26,7 @@ class Atom:
     negated: bool = False
 
     def __str__(self) -> str:
-        inside = ", ".join(t.name if isinstance(t, Var) else f'"{t}"' for t in self.terms)
-        return f"{'not ' * self.negated}{self.name}({inside})"
+        return f"{'not ' * self.negated}{self.name}({', '.join(map(shown, self.terms))})"
 
 
 @dataclass(frozen=True)
@@ -31,6 +35,9 @@ class Comparison:
     op: str
     right: Term
 
+    def __str__(self) -> str:
+        return f"{shown(self.left)} {self.op} {shown(self.right)}"
+
 
 @dataclass(frozen=True)
 class Rule:

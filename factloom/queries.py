@@ -6,7 +6,10 @@ S supplier, P part, O order, T turn, E event, D document.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,15 +17,16 @@ from pyspark.sql import functions as F
 from factloom.engine import Engine
 from factloom.functions.compare import compare
 from factloom.functions.entity_key import decode_key, encode_key, key_type, sort_part
-from factloom.operators.browse import cooccurring, entities_of, entity_types, matching_facts
-from factloom.sources.facts import edges_of, parse_lines, with_shape
+from factloom.operators.browse import cooccurring, entities_of, entity_types, get, matching_facts
+from factloom.sources.facts import FactStore, edges_of, parse_lines, rejected_lines, with_shape
+from factloom.staging import shared_dir
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: predicate: (table, argument expressions, condition). The same text serves Spark and DuckDB, but see _next_turn.
+#: predicate: (table, argument expressions, condition). The same text serves Spark and DuckDB.
 RELATIONS: dict[str, tuple[str, tuple[str, ...], str]] = {
     "cust_nation": ("customer", ("concat('C', c_custkey)", "concat('N', c_nationkey)"), ""),
     "cust_segment": ("customer", ("concat('C', c_custkey)", "c_mktsegment"), ""),
@@ -39,33 +43,22 @@ RELATIONS: dict[str, tuple[str, tuple[str, ...], str]] = {
     "part_size": ("part", ("concat('P', p_partkey)", "p_size"), ""),
     "part_brand": ("part", ("concat('P', p_partkey)", "p_brand"), ""),
     "same_key": ("customer", ("c_custkey", "c_nationkey"), ""),
-    "next_turn": ("conversations", ("concat('T', conv_id, '.', turn)", "concat('T', conv_id, '.', turn + 1)"), "turn < 7"),
+    "next_turn": ("turns", ("concat('T', conv_id, '.', turn)", "concat('T', conv_id, '.', following)"), "following IS NOT NULL"),
     "first_turn": ("conversations", ("concat('T', conv_id, '.', turn)",), "turn = 0"),
     "turn_role": ("conversations", ("concat('T', conv_id, '.', turn)", "role"), ""),
 }
 
 
-def _next_turn(conversations: DataFrame) -> DataFrame:
-    """Every turn with the next one of its conversation, as the rows have them, at any number.
-
-    The SQL above follows turn numbers and stops at a fixed one; of it, only the end that it leaves open
-    is kept: below that number the last turn of a conversation links to the number after it.
-    """
-    name = lambda turn: F.concat(F.lit("T"), "conv_id", F.lit("."), turn)
-    turns = conversations.filter("turn IS NOT NULL").select("conv_id", "turn").distinct()
-    following = F.lead("turn").over(Window.partitionBy("conv_id").orderBy("turn"))
-    turns = turns.withColumn("following", F.coalesce(following, F.when(F.expr(RELATIONS["next_turn"][2]), F.col("turn") + 1)))
-    return turns.select(name(F.col("turn")).alias("a0"), name(F.col("following")).alias("a1"))
+#: Every turn number of a conversation with the next one there is.
+TURNS = """(SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS following
+  FROM (SELECT DISTINCT conv_id, turn FROM {conversations} WHERE conv_id IS NOT NULL AND turn IS NOT NULL) AS numbers)"""
 
 
 def _engine(spark: SparkSession, sf_dir: str, *names: str) -> Engine:
     engine = Engine(spark)
     for name in names:
         source, columns, where = RELATIONS[name]
-        rows = _read(spark, sf_dir, source)
-        if name == "next_turn":
-            engine.register(name, _next_turn(rows))
-            continue
+        rows = spark.sql(TURNS, conversations=_read(spark, sf_dir, "conversations")) if source == "turns" else _read(spark, sf_dir, source)
         rows = rows.filter(where) if where else rows
         engine.register(name, rows.select(*[F.expr(c).alias(f"a{i}") for i, c in enumerate(columns)]))
     return engine
@@ -80,6 +73,7 @@ def _sql(names: str, body: str) -> str:
     for name in names.split():
         source, columns, where = RELATIONS[name]
         listed = ", ".join(f"CAST({c} AS VARCHAR) AS {letter}" for c, letter in zip(columns, "abc", strict=False))
+        source = f"{TURNS.format(conversations='conversations')} AS turns" if source == "turns" else source
         views.append(f"{name} AS (SELECT DISTINCT {listed} FROM {source}{f' WHERE {where}' if where else ''})")
     return f"WITH RECURSIVE {', '.join(views)} {body}"
 
@@ -132,6 +126,10 @@ _PROGRAMS: dict[str, tuple[str, str, str, str]] = {
     "ground_facts": ("nation_name", 'tracked("N1"). tracked("N2"). known(M) :- tracked(N), nation_name(N, M).', "known(M)", "SELECT DISTINCT b AS M FROM nation_name WHERE a IN ('N1', 'N2')"),
     "query_bound": ("nation_region", "p(N, R) :- nation_region(N, R).", 'p(N, "R1")', "SELECT DISTINCT a AS N FROM nation_region WHERE b = 'R1'"),
     "query_conj": ("cust_nation nation_region region_name", "p(N, R) :- nation_region(N, R).", 'p(N, R), region_name(R, M), R != "R0"', "SELECT DISTINCT n.a AS N, n.b AS R, r.b AS M FROM nation_region n JOIN region_name r ON n.b = r.a WHERE n.b <> 'R0'"),
+    "query_first": ("placed", "p(C, O) :- placed(C, O).", 'p("C1", O)', "SELECT DISTINCT b AS O FROM placed WHERE a = 'C1'"),
+    "query_not": ("cust_nation nation_region", "p(N, R) :- nation_region(N, R).", 'p(N, R), not cust_nation("C1", N), R != "R2"', "SELECT a AS N, b AS R FROM nation_region WHERE b <> 'R2' AND a NOT IN (SELECT b FROM cust_nation WHERE a = 'C1')"),
+    "query_unknown": ("nation_region", "p(N, R) :- nation_region(N, R).", 'p(N, "none such")', "SELECT a AS N FROM nation_region WHERE false"),
+    "query_undefined": ("nation_region", "p(N, R) :- nation_region(N, R).", "nothing(X)", "SELECT a AS X FROM nation_region WHERE false"),
     "query_wildcard": ("placed", "p(C, O) :- placed(C, O).", "p(C, _)", "SELECT DISTINCT a AS C FROM placed"),
     "query_repeated": ("same_key", "p(X, Y) :- same_key(X, Y).", "p(X, X)", "SELECT DISTINCT a AS X FROM same_key WHERE a = b"),
 }
@@ -207,6 +205,84 @@ def ingest_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("o_orderkey", "rejected", listed.alias("entities"), "source", "shape")
 
 
+def ingest_odd_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with another root than an object, no valid edge, or a source that is no text: what is left of them as facts."""
+    line = """CASE p_partkey % 6 WHEN 0 THEN '[1,2]' WHEN 1 THEN 'null' WHEN 2 THEN '{"edges":[["a",5],["b"]]}' WHEN 3 THEN '{"edges":"no","source":"x"}'
+      WHEN 4 THEN concat('{"source":7,"edges":[["part","P', p_partkey, '"]]}') ELSE concat('{"source":"s","edges":[["part","P', p_partkey, '"],[[]]]}') END"""
+    found = parse_lines(_read(spark, sf_dir, "part").select("p_partkey", F.expr(line).alias("value"))).filter(F.size("entities") > 0)
+    return found.select("p_partkey", F.col("entities")[0]["id"].alias("id"), F.size("entities").alias("n"), "source")
+
+
+def ground_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many answers questions without variables have: one if they hold, else none."""
+    engine = _engine(spark, sf_dir, "nation_region", "first_turn").load("p(N, R) :- nation_region(N, R).")
+    asked = ['p("N1", "R1")', 'p("N1", "R3")', 'p("N1", "R1"), not p("N2", "R2")', 'first_turn("T1.0")', 'first_turn("T1.1")', 'nothing("x")']
+    counts = [engine.query(q).agg(F.count("*").alias("answers")).select(F.lit(q).alias("asked"), "answers") for q in asked]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def included_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A program of two files, each of which includes the other."""
+    with tempfile.TemporaryDirectory() as folder:
+        with open(f"{folder}/top.dl", "w") as top, open(f"{folder}/part.dl", "w") as part:
+            top.write('@include "part.dl". lives(C, R) :- cust_nation(C, N), lies(N, R).')
+            part.write('@include "top.dl". lies(N, M) :- nation_region(N, R), region_name(R, M).')
+        return _engine(spark, sf_dir, "cust_nation", "nation_region", "region_name").load_file(f"{folder}/top.dl").query("lives(C, R)")
+
+
+def _store(spark: SparkSession, sf_dir: str) -> FactStore:
+    """A new store with the orders read from JSON lines, the suppliers added as a DataFrame, and one fact."""
+    folder = f"{shared_dir(spark)}/store_{uuid.uuid4().hex}"
+    line = F.expr("""concat('{"edges":[["order","O', o_orderkey, '"],["customer","C', o_custkey, '"],["status","', o_orderstatus, '"]],"source":"orders"}')""")
+    _read(spark, sf_dir, "orders").select(line.alias("value")).write.text(f"{folder}_lines")
+    store = FactStore(spark, folder)
+    store.ingest(f"{folder}_lines")
+    store.add_facts(facts(spark, sf_dir).filter("source = 'supplier'").withColumn("source", F.lit("")))
+    store.add_fact([("note", "last"), ("customer", "C1")], "by hand")
+    return store
+
+
+_listed = lambda: F.array_join(F.transform("entities", lambda e: F.concat_ws("=", e["type"], e["id"])), ",")
+
+
+def store_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All facts of a store, and whether their ids are those from 1 on."""
+    store = _store(spark, sf_dir)
+    found = store.facts
+    last = found.agg(F.max("fact_id").alias("last"), F.count_distinct("fact_id").alias("ids"), F.min("fact_id").alias("first"))
+    return found.crossJoin(F.broadcast(last)).select(_listed().alias("entities"), "source", ((F.col("last") == F.col("ids")) & (F.col("first") == 1)).alias("consecutive"))
+
+
+def store_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts with an entity, by the ids that a store's sorted edges have for it."""
+    store = _store(spark, sf_dir)
+    return store.facts.join(store.facts_of("customer", "C1"), "fact_id", "left_semi").select(_listed().alias("entities"), "source")
+
+
+def store_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact of the largest id: what was added last."""
+    store = _store(spark, sf_dir)
+    return store.fact(store.facts.agg(F.max("fact_id")).head()[0]).select(_listed().alias("entities"), "source")
+
+
+def store_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return get(_store(spark, sf_dir).edges, "customer/C1/status/O/order")
+
+
+def store_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mapping whose shape reaches the scan of a store's facts."""
+    source = '@map open(C, O) = [order:O, customer:C, status:"O"]. busy(C) :- open(C, O), open(C, P), O != P.'
+    return Engine(spark, _store(spark, sf_dir).facts).load(source).query("busy(C)")
+
+
+def rejected_numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line numbers of the lines of a file that are no JSON. (One small file, so that the numbers are known.)"""
+    folder = f"{shared_dir(spark)}/lines_{uuid.uuid4().hex}"
+    line = F.expr("CASE n_nationkey % 4 WHEN 0 THEN concat('broken ', n_name) WHEN 1 THEN '' ELSE '{}' END")
+    _read(spark, sf_dir, "nation").coalesce(1).sortWithinPartitions("n_nationkey").select(line.alias("value")).write.text(folder)
+    return rejected_lines(spark, folder).select("line", "value")
+
+
 def browse_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entity_types(edges_of(facts(spark, sf_dir)))
 
@@ -254,6 +330,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "map_union": map_union,
     "map_rules": map_rules,
     "ingest_lines": ingest_lines,
+    "ingest_odd_lines": ingest_odd_lines,
+    "rejected_numbered": rejected_numbered,
+    "ground_answers": ground_answers,
+    "included_rules": included_rules,
+    "store_facts": store_facts,
+    "store_lookup": store_lookup,
+    "store_fact": store_fact,
+    "store_path": store_path,
+    "store_rules": store_rules,
     "browse_types": browse_types,
     "browse_list": browse_list,
     "facts_by_entity": facts_by_entity,
@@ -264,14 +349,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "compare_pairs": compare_pairs,
 }
 
+_ORDER_SQL = "concat('order=O', o_orderkey, ',customer=C', o_custkey, ',status=', o_orderstatus)"
+
 ORACLE_SQL: dict[str, str] = {
     **{name: _sql(relations, sql) for name, (relations, _, _, sql) in _PROGRAMS.items()},
     "tc_events": "WITH RECURSIVE s AS (SELECT event_id AS a, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events), e AS (SELECT concat('E', a) AS a, concat('E', b) AS b FROM s WHERE b IS NOT NULL), t AS (SELECT a, b FROM e UNION SELECT e.a, t.b FROM e JOIN t ON e.b = t.a) SELECT a AS X, b AS Y FROM t",
-    "tc_cycle": "SELECT concat('T', x.conv_id, '.', x.turn) AS X, concat('T', y.conv_id, '.', y.turn) AS Y FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id WHERE x.turn < 8 AND y.turn < 8",
+    "tc_cycle": "SELECT concat('T', x.conv_id, '.', x.turn) AS X, concat('T', y.conv_id, '.', y.turn) AS Y FROM conversations x JOIN conversations y ON x.conv_id = y.conv_id WHERE x.turn IS NOT NULL AND y.turn IS NOT NULL GROUP BY ALL",
     "map_scan": "SELECT concat('C', o_custkey) AS C, concat('O', o_orderkey) AS O FROM orders WHERE o_orderpriority = '1-URGENT'",
     "map_union": "SELECT concat('S', s_suppkey) AS X, concat('N', s_nationkey) AS N FROM supplier UNION SELECT concat('C', c_custkey), concat('N', c_nationkey) FROM customer",
     "map_rules": "WITH RECURSIVE e AS (SELECT concat('S', s_suppkey) AS a, concat('N', s_nationkey) AS b FROM supplier UNION SELECT concat('N', n_nationkey), concat('R', n_regionkey) FROM nation), t AS (SELECT a, b FROM e UNION SELECT e.a, t.b FROM e JOIN t ON e.b = t.a) SELECT a AS X, b AS Y FROM t",
     "ingest_lines": "SELECT o_orderkey, o_orderstatus = 'P' AS rejected, CASE o_orderstatus WHEN 'F' THEN concat('order=O', o_orderkey) WHEN 'O' THEN concat('order=O', o_orderkey, ',customer=C', o_custkey) END AS entities, CASE WHEN o_orderstatus = 'O' THEN o_orderpriority END AS source, CASE o_orderstatus WHEN 'F' THEN concat('order', chr(1)) WHEN 'O' THEN concat('order', chr(1), 'customer', chr(1)) END AS shape FROM orders",
+    "ingest_odd_lines": "SELECT p_partkey, concat('P', p_partkey) AS id, 1 AS n, CASE WHEN p_partkey % 6 = 5 THEN 's' END AS source FROM part WHERE p_partkey % 6 IN (4, 5)",
+    "rejected_numbered": "SELECT line, value FROM (SELECT row_number() OVER (ORDER BY n_nationkey) AS line, concat('broken ', n_name) AS value, n_nationkey % 4 = 0 AS bad FROM nation) WHERE bad",
+    "ground_answers": """WITH p AS (SELECT concat('N', n_nationkey) AS n, concat('R', n_regionkey) AS r FROM nation), f AS (SELECT concat('T', conv_id, '.', turn) AS t FROM conversations WHERE turn = 0),
+      q AS (SELECT 'p("N1", "R1")' AS asked, EXISTS (SELECT 1 FROM p WHERE n = 'N1' AND r = 'R1') AS holds
+      UNION ALL SELECT 'p("N1", "R3")', EXISTS (SELECT 1 FROM p WHERE n = 'N1' AND r = 'R3')
+      UNION ALL SELECT 'p("N1", "R1"), not p("N2", "R2")', EXISTS (SELECT 1 FROM p WHERE n = 'N1' AND r = 'R1') AND NOT EXISTS (SELECT 1 FROM p WHERE n = 'N2' AND r = 'R2')
+      UNION ALL SELECT 'first_turn("T1.0")', EXISTS (SELECT 1 FROM f WHERE t = 'T1.0') UNION ALL SELECT 'first_turn("T1.1")', EXISTS (SELECT 1 FROM f WHERE t = 'T1.1') UNION ALL SELECT 'nothing("x")', false)
+      SELECT asked, CAST(holds AS BIGINT) AS answers FROM q""",
+    "included_rules": "SELECT DISTINCT concat('C', c_custkey) AS C, r_name AS R FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
+    "store_facts": f"SELECT {_ORDER_SQL} AS entities, 'orders' AS source, true AS consecutive FROM orders UNION ALL SELECT concat('rel=located,supplier=S', s_suppkey, ',nation=N', s_nationkey), NULL, true FROM supplier UNION ALL SELECT 'note=last,customer=C1', 'by hand', true",
+    "store_lookup": f"SELECT {_ORDER_SQL} AS entities, 'orders' AS source FROM orders WHERE o_custkey = 1 UNION ALL SELECT 'note=last,customer=C1', 'by hand'",
+    "store_fact": "SELECT 'note=last,customer=C1' AS entities, 'by hand' AS source",
+    "store_path": "SELECT DISTINCT concat('O', o_orderkey) AS id FROM orders WHERE o_custkey = 1 AND o_orderstatus = 'O'",
+    "store_rules": "SELECT concat('C', o_custkey) AS C FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey HAVING count(DISTINCT o_orderkey) > 1",
     "browse_types": f"WITH {_EDGES_SQL} SELECT type, count(DISTINCT id) AS entities FROM e GROUP BY type",
     "browse_list": f"WITH {_EDGES_SQL} SELECT DISTINCT id FROM e WHERE type = 'nation'",
     "facts_by_entity": f"WITH {_EDGES_SQL} SELECT DISTINCT f AS fact_id FROM e WHERE type = 'status' AND id = 'P'",

@@ -6,7 +6,11 @@ sequence of its entity types.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import contextlib
+import uuid
+
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from factloom.staging import table
@@ -49,8 +53,17 @@ def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def rejected_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value) of the lines of a file that are no JSON."""
-    return parse_lines(spark.read.text(path)).filter("rejected").select("value")
+    """(file, line, value) of the lines of files that are no JSON, in order; line counts from 1, empty ones too.
+
+    A block of a file is read by one task in order, so a line's number is its place in the block
+    after the lines of the blocks before it.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    blocks = lines.groupBy("file", "start").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("file", "start", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first") + 1).alias("shift"))
+    bad = parse_lines(lines).filter("rejected").join(blocks, ["file", "start"])
+    return bad.select("file", (F.col("row") + F.col("shift")).alias("line"), "value").orderBy("file", "line")
 
 
 def numbered(facts: DataFrame, first: int = 1) -> DataFrame:
@@ -71,35 +84,75 @@ def edges_of(facts: DataFrame) -> DataFrame:
 
 
 class FactStore:
-    """Facts below a folder: ``facts`` by id, and ``edges`` sorted by entity so that lookups skip row groups."""
+    """Facts below a folder: ``facts`` by id, and ``edges`` sorted by entity so that lookups skip row groups.
+
+    Each addition is a folder ``batch=...`` of both tables. Ids go on from the largest, so there is one
+    writer at a time: a second one finds the file ``_writer`` and is refused.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _at(self, name: str):
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return target, target.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _exists(self, name: str) -> bool:
+        target, files = self._at(name)
+        return files.exists(target)
+
     def _read(self, name: str, schema: str) -> DataFrame:
         # A store that nothing was added to is an empty table.
-        if not self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}").getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(
-            self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        ):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        if not self._exists(name):
+            return self.spark.createDataFrame([], f"{schema}, batch string")
+        return self.spark.read.schema(f"{schema}, batch string").parquet(f"{self.path}/{name}")
 
     @property
     def facts(self) -> DataFrame:
-        return self._read("facts", FACTS)
+        return self._read("facts", FACTS).drop("batch")
 
     @property
     def edges(self) -> DataFrame:
-        return self._read("edges", EDGES)
-
-    def add_facts(self, facts: DataFrame) -> int:
-        """Append facts (entities, source); ids go on from the largest there is. Returns how many were added."""
-        last = self.facts.agg(F.max("fact_id")).head()[0] or 0
-        clean = facts.select(F.col("entities").cast(ENTITIES).alias("entities"), F.nullif(F.col("source").cast("string"), F.lit("")).alias("source"))
-        rows = table(numbered(with_shape(clean), last + 1))
-        rows.select("fact_id", "entities", "source", "shape").sortWithinPartitions("shape").write.mode("append").parquet(f"{self.path}/facts")
-        edges_of(rows).repartitionByRange("type", "id").sortWithinPartitions("type", "id").write.mode("append").parquet(f"{self.path}/edges")
-        return rows.count()
+        return self._read("edges", EDGES).drop("batch")
+
+    @contextlib.contextmanager
+    def _writing(self):
+        target, files = self._at("_writer")
+        try:
+            files.createNewFile(target) or self._refuse()
+        except Py4JJavaError as problem:
+            raise OSError(f"cannot write to {self.path}") from problem
+        try:
+            yield
+        finally:
+            files.delete(target, False)
+
+    def _refuse(self):
+        raise RuntimeError(f"another writer adds to {self.path}; if it was cut off, call unlock()")
+
+    def unlock(self) -> None:
+        """Let go of what a writer that was cut off has left."""
+        target, files = self._at("_writer")
+        files.delete(target, False)
+
+    def add_facts(self, facts: DataFrame, batch_id: int | str | None = None) -> int:
+        """Append facts (entities, source); ids go on from the largest there is. Returns how many were added.
+
+        What is added under a ``batch_id`` is stored once: if the batch is there already its facts
+        stay as they are, and only edges that are missing are written.
+        """
+        name = f"batch={uuid.uuid4().hex if batch_id is None else f'id_{batch_id}'}"
+        with self._writing():
+            if not self._exists(f"facts/{name}/_SUCCESS"):
+                others = self._read("facts", FACTS).filter(F.col("batch") != name.removeprefix("batch="))
+                last = others.agg(F.max("fact_id")).head()[0] or 0
+                clean = facts.select(F.col("entities").cast(ENTITIES).alias("entities"), F.nullif(F.col("source").cast("string"), F.lit("")).alias("source"))
+                rows = numbered(with_shape(clean), last + 1).select("fact_id", "entities", "source", "shape")
+                rows.sortWithinPartitions("shape").write.mode("overwrite").parquet(f"{self.path}/facts/{name}")
+            rows = self.spark.read.schema(FACTS).parquet(f"{self.path}/facts/{name}")
+            if not self._exists(f"edges/{name}/_SUCCESS"):
+                edges_of(rows).repartitionByRange("type", "id").sortWithinPartitions("type", "id").write.mode("overwrite").parquet(f"{self.path}/edges/{name}")
+            return rows.count()
 
     def add_fact(self, entities: list[tuple[str, str]], source: str | None = None) -> int:
         """Append one fact and return its id."""

@@ -11,13 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """This application's folder in spark.checkpoint.dir, or in one of our own where that is unset; removed when Python exits."""
+    """This application's folder in spark.checkpoint.dir, removed when Python exits.
+
+    Where that is unset, a local master gets a temporary folder; on a cluster, whose executors would
+    each write to their own disk, it is an error.
+    """
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir", None)
     if folder and not getattr(context, "_tables_removed_at_exit", False):
         context._tables_removed_at_exit = True
         atexit.register(_remove, context, f"{folder.rstrip('/')}/tables_{context.applicationId}")
     if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = getattr(context, "_own_shared_dir", None)
         if folder is None:
             folder = context._own_shared_dir = tempfile.mkdtemp(prefix="shared_")

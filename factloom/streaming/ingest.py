@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -12,13 +14,12 @@ from factloom.sources.facts import FactStore, parse_lines
 def follow(spark: SparkSession, folder: str, store: FactStore, checkpoint: str, **trigger) -> StreamingQuery:
     """Start a stream that appends the facts of new files in ``folder``; each file is read once.
 
-    Ids are given per micro-batch, after the largest in the store. A micro-batch that fails after its
-    facts were written is written again on restart: facts are then stored at least once, and set
-    semantics make repeats invisible to rules and browsing.
+    A micro-batch is stored under the stream's checkpoint and its number, so one that comes again after
+    a failure is stored once; see ``FactStore.add_facts``.
     """
-    lines = spark.readStream.text(folder)
+    lines, stream = spark.readStream.text(folder), hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def append(batch: DataFrame, number: int) -> None:
-        store.add_facts(parse_lines(batch).filter(F.size("entities") > 0).select("entities", "source"))
+        store.add_facts(parse_lines(batch).filter(F.size("entities") > 0).select("entities", "source"), batch_id=f"{stream}_{number}")
 
     return lines.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -30,7 +30,7 @@ def test_query(spark, duck, name):
 
 
 def test_long_conversations(spark, tmp_path):
-    """Turns far above those of the SQL, with a gap, a tie and null turns, against brute force."""
+    """Turns with gaps, ties, nulls and far numbers, against brute force."""
     turns = {1: list(range(13)), 2: [0, 1, 9, 11, 30], 3: [0, 1, 1, 2], 4: [3, 20], 5: [0]}
     rows = [(c, t, f"r{t % 2}", "x") for c, own in turns.items() for t in own] + [(1, None, "r0", "x"), (None, 3, "r0", "x")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
@@ -38,7 +38,7 @@ def test_long_conversations(spark, tmp_path):
     for c, own in turns.items():
         own = sorted(set(own))
         ring |= {(f"T{c}.{s}", f"T{c}.{t}") for s in own for t in own}
-        chain = own + [own[-1] + 1] * (own[-1] < 7)
+        chain = own
         after |= {(f"T{c}.{s}", f"T{c}.{t}") for s in chain for t in chain if s < t}
         if own[0] == 0:
             reached |= {(c, t) for t in chain}
