@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from factloom.llm.runtime import small, table
 
-#: Messages in a row at most.
-WINDOW_MESSAGES = 512
-#: Turn numbers in a window of a conversation that takes more than one row.
-WINDOW_TURNS = 64
+#: Messages in a row at most: a rendering is given in consecutive parts of so many.
+PART_MESSAGES = 512
 #: The order of the messages of a conversation.
 ORDER = ("has_turn", "turn_no", "digest", "role")
 END = "<|im_end|>\n"
@@ -38,75 +36,52 @@ def _with_earlier(ordered: DataFrame, group: list[str], **values: str) -> DataFr
     return added.drop(*[f"__{k}" for k in values])
 
 
-def _cut(rows: DataFrame) -> DataFrame:
-    """The long conversations of ``rows`` (with ``conv_no``) as conv_id, window, part, messages, perspective, start.
+def rotate_perspectives(conversations: DataFrame, part_messages: int = PART_MESSAGES) -> DataFrame:
+    """conv_id, perspective, part, n_messages, rendered, mask_spans, n_masked.
 
-    Order, cuts and lengths come from rows without texts; a text is dealt out once to drop repeats and once to its part.
-    """
-    rows = rows.withColumn("has_turn", F.col("turn").isNotNull()).withColumn("turn_no", F.coalesce("turn", F.lit(0)))
-    slim = rows.select("conv_no", *ORDER, F.length("text").alias("n_text")).dropDuplicates(["conv_no", *ORDER])
-    slot = F.floor(F.col("turn_no") / WINDOW_TURNS)
-    least = F.coalesce(F.min(F.when(F.col("has_turn"), slot)), F.lit(0))
-    totals = slim.groupBy("conv_no").agg(F.count("*").alias("total"), least.alias("least"))
-    slim = table(slim).join(small(table(totals)), "conv_no")
-    slim = slim.withColumn("window", F.when(F.col("total") <= WINDOW_MESSAGES, 0).when(F.col("has_turn"), slot).otherwise(F.col("least")).cast("long"))
-    # Length where the role is another participant's; as the assistant's it is shorter by the role and a line end.
-    slim = slim.withColumn("length", (F.length(_opening(F.col("role"), F.lit(None))) + F.col("n_text") + len(END)).cast("long")).withColumn("one", F.lit(1))
-    slim = _with_earlier(_ordered(slim.drop("n_text", "total", "least"), "conv_no", *ORDER), ["conv_no", "window"], one_before="one")
-    slim = slim.withColumn("first", F.when(F.col("one_before") % WINDOW_MESSAGES == 0, 1).otherwise(0))
-    slim = table(_with_earlier(table(slim), ["conv_no"], at="length", firsts="first").withColumn("part", F.col("firsts") + F.col("first") - 1))
-
-    people = small(table(slim.select("conv_no", F.col("role").alias("perspective")).distinct()))
-    parts = slim.groupBy("conv_no", "part").agg(F.min("at").alias("at"))
-    own = slim.groupBy("conv_no", "part", F.col("role").alias("perspective")).agg(F.count("*").alias("own"))
-    starts = parts.join(people, "conv_no").join(own, ["conv_no", "part", "perspective"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    starts = _with_earlier(_ordered(starts, "conv_no", "perspective", "part"), ["conv_no", "perspective"], own_before="own")
-    shorter = F.length(_opening(F.col("perspective"), F.lit(None))) - F.length(_opening(F.col("perspective"), F.col("perspective")))
-    starts = starts.select("conv_no", "part", "perspective", (F.col("at") - F.col("own_before") * shorter).alias("start"))
-
-    whole = rows.dropDuplicates(["conv_no", *ORDER]).join(slim.select("conv_no", *ORDER, "window", "part"), ["conv_no", *ORDER])
-    message = F.struct("turn", "digest", "role", "text")
-    grouped = whole.groupBy("conv_no", "part").agg(F.first("conv_id").alias("conv_id"), F.first("window").alias("window"), F.sort_array(F.collect_list(message)).alias("messages"))
-    return grouped.join(starts, ["conv_no", "part"]).select("conv_id", "window", "part", "messages", "perspective", "start")
-
-
-def rotate_perspectives(conversations: DataFrame) -> DataFrame:
-    """conv_id, perspective, window, part, n_messages, rendered, mask_spans, n_masked.
-
-    For every participant (distinct role) of a conversation its messages are rendered in the order
+    For every participant (distinct role) of a conversation all its messages are rendered in the order
     of their turns, that participant as ``assistant`` and each other one as ``user`` with its name.
     mask_spans lists the ``start:end`` code points of that rendering that are learned: the texts and
     end marks of the assistant; n_masked is their sum.
 
     Equal turns are ordered by the MD5 of role and text. A row that repeats as a whole is one
     message. Null text is empty, a null role is ``unknown``, a null turn comes first, and rows
-    without conv_id are one conversation. So that no row grows with its conversation, a rendering
-    is given in rows of at most ``WINDOW_MESSAGES`` messages, cut from that one order: ``part`` counts
-    them from 0, and ``rendered`` and mask_spans joined in the order of part are those of the whole
-    conversation, as the spans count from its beginning. A conversation that takes more than one row is also
-    cut between windows of ``WINDOW_TURNS`` turn numbers (null ones belong to the first); any other
-    has window 0. Columns other than the four are not read.
+    without conv_id are one conversation; an empty table gives none. So that no row grows with its
+    conversation, the ordered messages are cut into consecutive parts of ``part_messages``, numbered
+    from 0: ``rendered`` and mask_spans joined in the order of part are those of the whole
+    conversation, as the spans count from its beginning. Columns other than the four are not read.
+
+    Order, cuts and lengths come from rows without texts, sorted by range over all conversations; a
+    text is dealt out once to drop repeats and once to its part.
     """
     rows = conversations.select(
         F.col("conv_id"),
+        F.coalesce(F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.lit("")).alias("conv"),
         F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
     rows = rows.withColumn("digest", F.md5(F.concat_ws("\u0000", "role", "text")))
-    # Repeats count here, so that this needs no texts: _cut() leaves in one row what has fewer messages than that.
-    long = rows.groupBy("conv_id").agg(F.count("*").alias("n")).filter(F.col("n") > WINDOW_MESSAGES)
-    long = table(long.select(F.col("conv_id").alias("long_id"), F.monotonically_increasing_id().alias("conv_no")))
-    some = not long.isEmpty()
-    is_long = rows.conv_id.eqNullSafe(F.col("long_id"))
+    rows = rows.withColumn("has_turn", F.col("turn").isNotNull()).withColumn("turn_no", F.coalesce("turn", F.lit(0)))
+    slim = rows.select("conv", *ORDER, F.length("text").alias("n_text")).dropDuplicates(["conv", *ORDER])
+    # Length where the role is another participant's; as the assistant's it is shorter by the role and a line end.
+    length = F.length(_opening(F.col("role"), F.lit(None))) + F.col("n_text") + len(END)
+    slim = slim.withColumn("length", length.cast("long")).withColumn("one", F.lit(1)).drop("n_text")
+    slim = _with_earlier(_ordered(slim, "conv", *ORDER), ["conv"], at="length", one_before="one")
+    slim = table(slim.withColumn("part", F.floor(F.col("one_before") / part_messages).cast("long")))
+
+    people = small(table(slim.select("conv", F.col("role").alias("perspective")).distinct()))
+    parts = slim.groupBy("conv", "part").agg(F.min("at").alias("at"))
+    own = slim.groupBy("conv", "part", F.col("role").alias("perspective")).agg(F.count("*").alias("own"))
+    starts = parts.join(people, "conv").join(own, ["conv", "part", "perspective"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    starts = _with_earlier(_ordered(starts, "conv", "perspective", "part"), ["conv", "perspective"], own_before="own")
+    shorter = F.length(_opening(F.col("perspective"), F.lit(None))) - F.length(_opening(F.col("perspective"), F.col("perspective")))
+    starts = starts.select("conv", "part", "perspective", (F.col("at") - F.col("own_before") * shorter).alias("start"))
 
-    short = rows.join(small(long), is_long, "left_anti") if some else rows
+    whole = rows.dropDuplicates(["conv", *ORDER]).join(slim.select("conv", *ORDER, "part"), ["conv", *ORDER])
     message = F.struct("turn", "digest", "role", "text")
-    turned = short.groupBy("conv_id").agg(F.sort_array(F.collect_set(message)).alias("messages")).select(
-        "conv_id", F.lit(0).cast("long").alias("window"), F.lit(0).cast("long").alias("part"), "messages", F.explode(F.array_distinct("messages.role")).alias("perspective"), F.lit(0).cast("long").alias("start")
-    )
-    if some:
-        turned = turned.unionByName(_cut(rows.join(small(long), is_long).drop("long_id")))
+    grouped = whole.groupBy("conv", "part").agg(F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list(message)).alias("messages"))
+    turned = grouped.join(starts, ["conv", "part"]).select("conv_id", "part", "messages", "perspective", "start")
 
     end = F.lit(END)
     me = F.col("perspective")
@@ -126,28 +101,28 @@ def rotate_perspectives(conversations: DataFrame) -> DataFrame:
     start = F.struct(F.col("start").alias("at"), F.array().cast("array<string>").alias("spans"), F.lit(0).cast("long").alias("n"))
     walked = F.aggregate("messages", start, step)
     return turned.select(
-        "conv_id", "perspective", "window", "part", F.size("messages").cast("long").alias("n_messages"), rendered.alias("rendered"), walked.alias("walked")
-    ).select("conv_id", "perspective", "window", "part", "n_messages", "rendered", F.array_join("walked.spans", ",").alias("mask_spans"), F.col("walked.n").alias("n_masked"))
+        "conv_id", "perspective", "part", F.size("messages").cast("long").alias("n_messages"), rendered.alias("rendered"), walked.alias("walked")
+    ).select("conv_id", "perspective", "part", "n_messages", "rendered", F.array_join("walked.spans", ",").alias("mask_spans"), F.col("walked.n").alias("n_masked"))
 
 
-ORACLE_SQL = """
-WITH m AS (
+ORACLE_SQL = f"""
+WITH d AS (
   SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations
+), m AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(role || chr(0) || text), role) - 1 AS k FROM d
 ), p AS (
   SELECT DISTINCT conv_id AS pid, role AS perspective FROM m
 ), r AS (
-  SELECT conv_id, perspective, turn, md5(role || chr(0) || text) AS digest, role = perspective AS mine, text,
+  SELECT conv_id, perspective, k, role = perspective AS mine, text,
     CASE WHEN role = perspective THEN '<|im_start|>assistant' || chr(10) ELSE '<|im_start|>user name=' || role || chr(10) END AS opening
   FROM m JOIN p ON conv_id IS NOT DISTINCT FROM pid
 ), s AS (
-  SELECT *, sum(length(opening) + length(text) + 11) OVER (
-      PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, digest) AS stop
-  FROM r
+  SELECT *, sum(length(opening) + length(text) + 11) OVER (PARTITION BY conv_id, perspective ORDER BY k) AS stop FROM r
 )
-SELECT conv_id, perspective, CAST(0 AS BIGINT) AS "window", CAST(0 AS BIGINT) AS part, count(*) AS n_messages,
-  string_agg(opening || text || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, digest) AS rendered,
+SELECT conv_id, perspective, k // {PART_MESSAGES} AS part, count(*) AS n_messages,
+  string_agg(opening || text || '<|im_end|>' || chr(10), '' ORDER BY k) AS rendered,
   coalesce(string_agg(CASE WHEN mine THEN CAST(CAST(stop - 11 - length(text) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(stop - 1 AS BIGINT) AS VARCHAR) END,
-    ',' ORDER BY turn NULLS FIRST, digest), '') AS mask_spans,
+    ',' ORDER BY k), '') AS mask_spans,
   CAST(sum(CASE WHEN mine THEN length(text) + 10 ELSE 0 END) AS BIGINT) AS n_masked
-FROM s GROUP BY conv_id, perspective
+FROM s GROUP BY conv_id, perspective, k // {PART_MESSAGES}
 """
