@@ -1,20 +1,16 @@
-"""Exact duplicates by a tree of merges over sorted digest runs. DataFrame functions only."""
+"""Exact duplicates by a binomial tree of merges over sorted digest runs. DataFrame functions only."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factloom.llm.runtime import small, table
 
-#: Least number of runs; there are as many as shuffle partitions if these are more.
+#: Least number of runs; there are as many as shuffle partitions if these are more, rounded up to a power of FAN_IN.
 RUNS = 64
-FAN_IN = 8
-
-
-def _merged(runs: DataFrame, key: list[str], keep: str) -> DataFrame:
-    best = F.max if keep == "largest" else F.min
-    return runs.groupBy("run", *key).agg(best("keep").alias("keep"), F.sum("size").alias("size")).sortWithinPartitions("run", *key)
+FAN_IN = 4
+KEY = ("digest", "n_bytes", "check")
 
 
 def _digests(docs: DataFrame) -> DataFrame:
@@ -28,23 +24,40 @@ def _digests(docs: DataFrame) -> DataFrame:
     )
 
 
+def _segment(bits: int) -> Column:
+    """The segment of a digest among 2**bits equal ranges."""
+    return F.shiftright(F.conv(F.hex(F.substring("digest", 1, 7)), 16, 10).cast("long"), 56 - bits)
+
+
+def _merged(runs: DataFrame, keep: str, parts: int) -> DataFrame:
+    """Merge what the runs of a group have in a segment: entries come sorted, equal neighbours become one.
+
+    A partition holds whole segments and reads them in order; rows move by run and segment only.
+    """
+    best = F.max if keep == "largest" else F.min
+    order = ["run", "segment", *KEY]
+    ordered = runs.repartition(parts, "run", "segment").sortWithinPartitions(*order)
+    return ordered.groupBy(*order).agg(best("keep").alias("keep"), F.sum("size").alias("size")).sortWithinPartitions(*order)
+
+
 def _groups(docs: DataFrame, keep: str, runs: int | None, fan_in: int) -> DataFrame:
     """Every row's digests with keep (doc_id, row) and size of its group, written once."""
-    runs = runs or max(RUNS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    key = ["digest", "n_bytes", "check"]
-    rows = table(_digests(docs).withColumn("run", F.pmod(F.xxhash64("row"), F.lit(runs)).cast("int")))
-    leaf = rows.select("run", *key, F.struct("doc_id", "row").alias("keep"), F.lit(1).cast("long").alias("size"))
-    levels = [table(_merged(leaf, key, keep))]
-    left = runs
-    while left > 1:
-        up = levels[-1].withColumn("run", (F.col("run") / fan_in).cast("int"))
-        levels.append(table(_merged(up, key, keep)))
-        left = -(-left // fan_in)
-    done = levels.pop().filter("size > 1")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted, rounds = runs or max(RUNS, parts), 0
+    while fan_in**rounds < wanted:
+        rounds += 1
+    digit = fan_in.bit_length() - 1
+    rows = table(_digests(docs).withColumn("run", F.pmod(F.xxhash64("row"), F.lit(fan_in**rounds)).cast("int")))
+    leaf = rows.select("run", F.lit(0).cast("long").alias("segment"), *KEY, F.struct("doc_id", "row").alias("keep"), F.lit(1).cast("long").alias("size"))
+    up = F.floor(F.col("run") / fan_in).cast("int")
+    levels = [table(_merged(leaf, keep, parts))]
+    for n in range(1, rounds + 1):
+        levels.append(table(_merged(levels[-1].withColumns({"run": up, "segment": _segment(digit * n)}), keep, parts)))
+    done = levels.pop().filter("size > 1").drop("segment")
     while levels:
-        below = levels.pop().select("run", *key, (F.col("run") / fan_in).cast("int").alias("up"))
-        done = below.join(done.withColumnRenamed("run", "up"), ["up", *key]).drop("up")
-    return rows.join(done, ["run", *key], "left")
+        below = levels.pop().select("run", *KEY, up.alias("up"))
+        done = below.join(done.withColumnRenamed("run", "up"), ["up", *KEY]).drop("up")
+    return rows.join(done, ["run", *KEY], "left")
 
 
 def exact_groups(docs: DataFrame, keep: str = "largest", runs: int | None = None, fan_in: int = FAN_IN) -> DataFrame:
@@ -54,13 +67,15 @@ def exact_groups(docs: DataFrame, keep: str = "largest", runs: int | None = None
     ``keep`` ("largest" or "smallest") doc_id stays; of repeated rows with that id one stays, and a
     null id is below all others. Other columns are not read.
 
-    Rows are dealt into ``runs`` digest runs by row, not by digest, so copies of one text spread
-    over all of them. Each run is sorted and reduced to one entry for a digest; in every round
-    ``fan_in`` neighbouring runs move to the first of them and are merged, keeping the identifier
-    that wins and the number of rows, until one run is left. An entry is matched on SHA-256, byte
-    length and a second 64-bit hash at every level, so entries merge only where all three agree.
-    Entries of more than one row then go back down the same tree to the rows, whereby no task meets
-    more of a text than one run or ``fan_in`` entries hold.
+    Rows are dealt into runs by row, not by digest, so copies of one text spread over all of them.
+    Each run is sorted by digest, equal entries reduced to one. Then runs are exchanged in binomial
+    rounds: the ``fan_in`` (a power of two) partners of a round split their range of digests among
+    themselves, each takes the others' entries of its part and merges the sorted pieces, keeping the
+    identifier that wins and the number of rows. So there are as many sorted pieces after every round
+    as before it; at the end each holds one range of the digests of all rows. An entry is matched on
+    SHA-256, byte length and a second 64-bit hash at every level, so entries merge only where all
+    three agree. Entries of more than one row then go back down the same tree to the rows, whereby no
+    task meets more of a text than one run or ``fan_in`` entries hold.
     """
     found = _groups(docs, keep, runs, fan_in)
     return found.select(
