@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 from dataclasses import dataclass
+from functools import reduce
 from re import _parser
 
 from pyspark.sql import Column, DataFrame
@@ -36,8 +37,8 @@ MORE_RULES = (
 )
 
 MOST_STRINGS = 16
-#: Trigrams that share one long in the grouped OR.
-BITS = 60
+#: Documents whose postings are intersected together.
+LIST_DOCS = 4096
 
 
 def _strings(node) -> set[str] | None:
@@ -107,59 +108,94 @@ def trigram_query(regex: str) -> list[list[frozenset[str]]]:
     return found
 
 
-def _holds(query: list[list[frozenset[str]]], bit: dict[str, int], seen: Column) -> Column:
-    def all_of(trigrams: frozenset[str]) -> Column:
-        out = F.lit(True)
-        for word in sorted({bit[t] // BITS for t in trigrams}):
-            mask = F.lit(sum(1 << bit[t] % BITS for t in trigrams if bit[t] // BITS == word)).cast("long")
-            out = out & (seen[f"w{word}"].bitwiseAND(mask) == mask)
-        return out
+def _any_of(trigrams: list[str]) -> str:
+    """A regex that finds every place where one of the trigrams begins, as its group 1: branches by first and second letter."""
+    quoted = lambda c: c if c.isalnum() else f"\\{c}"
+    tree: dict[str, dict[str, list[str]]] = {}
+    for a, b, c in trigrams:
+        tree.setdefault(a, {}).setdefault(b, []).append(c)
+    seconds = lambda after: "|".join(f"{quoted(b)}[{''.join(map(quoted, c))}]" for b, c in after.items())
+    return f"(?=({'|'.join(f'{quoted(a)}(?:{seconds(after)})' for a, after in tree.items())}))"
 
-    out = F.lit(True)
-    for options in query:
-        any_of = F.lit(False)
-        for option in options:
-            any_of = any_of | all_of(option)
-        out = out & any_of
-    return out
+
+def posting_lists(docs: DataFrame, trigrams: list[str]) -> DataFrame:
+    """(block, trigram, ids): the index, for the trigrams that some rule asks for.
+
+    A list holds the sorted doc_ids of one of many blocks of documents, so a frequent trigram has a list
+    in each block and none of these grows with the table. One pass over a text finds its trigrams.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(parts, -(-docs.count() // LIST_DOCS))
+    met = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_any_of(trigrams)), F.lit(1)))
+    postings = docs.select("doc_id", F.explode(met).alias("trigram"))
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
+    return postings.groupBy(block, "trigram").agg(F.sort_array(F.collect_set("doc_id")).alias("ids"), F.max(F.col("doc_id").isNull()).alias("null_id"))
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """(doc_id, kinds): which rules with mandatory trigrams may match a document.
 
-    The index holds (trigram, doc_id) for the trigrams that some rule asks for; intersecting the
-    postings of a query is one grouped OR over a document's trigram bits.
+    Within a block of documents each rule's query is evaluated on the lists: those of a string's
+    trigrams are intersected, alternatives united, conditions intersected. A null doc_id stands for
+    all rows without one; it is in no list and is a candidate of every rule if any such row has a trigram.
     """
     queries = {rule.kind: q for rule in rules if (q := trigram_query(rule.regex))}
     trigrams = sorted({t for q in queries.values() for options in q for option in options for t in option})
-    bit = {t: i for i, t in enumerate(trigrams)}
-    low = docs.select("doc_id", F.lower("text").alias("low"))
-    present = F.filter(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(i)) for t, i in bit.items()]), lambda x: x.isNotNull())
-    postings = low.select("doc_id", F.explode(present).alias("trigram"))
-    words = [
-        F.bit_or(F.when(F.floor(F.col("trigram") / BITS) == w, F.expr(f"shiftleft(1L, trigram % {BITS})")).otherwise(F.lit(0).cast("long"))).alias(f"w{w}")
-        for w in range(-(-len(trigrams) // BITS))
-    ]
-    met = postings.groupBy("doc_id").agg(*words).select("doc_id", F.struct(*[f"w{w}" for w in range(len(words))]).alias("seen"))
-    kinds = F.array(*[F.when(_holds(q, bit, F.col("seen")), F.lit(kind)) for kind, q in queries.items()])
-    return met.select("doc_id", F.array_compact(kinds).alias("kinds")).filter(F.size("kinds") > 0)
-
-
-def _spans(rule: Rule, order: int) -> Column:
-    """Array of (start, order, stop) of the matches of a rule in ``text``, in code points."""
+    lists = table(posting_lists(docs, trigrams))
+    held = lists.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "ids"))).alias("lists"), F.max("null_id").alias("null_id"))
+    none = F.array().cast(lists.schema["ids"].dataType)
+
+    def ids(query: list[list[frozenset[str]]]) -> Column:
+        ids_of = lambda option: reduce(F.array_intersect, [F.coalesce(F.try_element_at("lists", F.lit(t)), none) for t in sorted(option)])
+        return reduce(F.array_intersect, [reduce(F.array_union, [ids_of(o) for o in options]) for options in query])
+
+    found = held.select("null_id", F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), ids(q).alias("ids")) for kind, q in queries.items()])).alias("x"))
+    with_null = F.when(F.col("null_id"), F.concat("x.ids", F.array(F.lit(None).cast("long")))).otherwise(F.col("x.ids"))
+    pairs = found.select("x.kind", F.explode(with_null).alias("doc_id"))
+    return pairs.groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
+
+
+_SPANS = "array<struct<start:int,kind:int,stop:int>>"
+
+
+def _matches(rule: Rule) -> Column:
+    """Array of (gap, span, value) of the matches of a rule in ``text``: code points since the last one, its own, and its value's."""
     match = F.regexp_extract_all("text", F.lit(rule.regex), F.lit(0))
     value = F.regexp_extract_all("text", F.lit(rule.regex), F.lit(rule.group)) if rule.group else match
-    pieces = F.transform(F.split("text", rule.regex, -1), F.length)
-    found = F.arrays_zip(pieces.alias("gap"), F.transform(match, F.length).alias("span"), F.transform(value, F.length).alias("value"))
+    gaps = F.transform(F.split("text", rule.regex, -1), F.length)
+    return F.arrays_zip(gaps.alias("gap"), F.transform(match, F.length).alias("span"), F.transform(value, F.length).alias("value"))
 
-    def step(state: Column, x: Column) -> Column:
-        start = state["at"] + x["gap"]
-        stop = start + x["span"]
-        span = F.struct(start.alias("start"), F.lit(order).alias("kind"), stop.alias("stop"))
-        return F.struct(stop.alias("at"), F.when(x["value"] >= rule.least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
 
-    none = F.array().cast("array<struct<start:int,kind:int,stop:int>>")
-    return F.aggregate(found, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda state: state["spans"])
+def _with_spans(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """Replace the matches in the column of each rule by its (start, order, stop), in code points.
+
+    Running sums go over about the square root of the number of matches at a time: lengths of these
+    pieces first, sums over the pieces, and then within each from its sum on.
+    """
+    kinds = [rule.kind for rule in rules]
+    width = lambda k: F.ceil(F.sqrt(F.size(k))).cast("int")
+    pieces = lambda k: F.transform(F.sequence(F.lit(0), F.ceil(F.size(k) / width(k)).cast("int") - 1), lambda i: F.slice(k, i * width(k) + 1, width(k)))
+    rows = rows.withColumns({k: F.when(F.size(k) > 0, pieces(k)) for k in kinds})
+
+    def starts(k: str) -> Column:
+        lengths = F.transform(k, lambda piece: F.aggregate(piece, F.lit(0), lambda at, x: at + F.coalesce(x["gap"] + x["span"], F.lit(0))))
+        none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+        step = lambda state, n: F.struct((state["at"] + n).alias("at"), F.concat(state["all"], F.array(state["at"])).alias("all"))
+        return F.aggregate(lengths, none, step, lambda state: state["all"])
+
+    rows = rows.withColumns({k: F.when(F.col(k).isNotNull(), F.arrays_zip(F.col(k).alias("piece"), starts(k).alias("start"))) for k in kinds})
+
+    def placed(order: int, rule: Rule) -> Column:
+        def step(state: Column, x: Column) -> Column:
+            start = state["at"] + x["gap"]
+            stop = start + x["span"]
+            span = F.struct(start.alias("start"), F.lit(order).alias("kind"), stop.alias("stop"))
+            return F.struct(F.coalesce(stop, state["at"]).alias("at"), F.when(x["value"] >= rule.least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"]).alias("spans"))
+
+        within = lambda z: F.aggregate(z["piece"], F.struct(z["start"].alias("at"), F.array().cast(_SPANS).alias("spans")), step, lambda state: state["spans"])
+        return F.coalesce(F.flatten(F.transform(rule.kind, within)), F.array().cast(_SPANS))
+
+    return rows.withColumns({rule.kind: placed(order, rule) for order, rule in enumerate(rules)})
 
 
 def _listed(spans: Column, kinds: list[str]) -> Column:
@@ -177,15 +213,14 @@ def scan_secrets(docs: DataFrame, more: tuple[Rule, ...] = MORE_RULES) -> DataFr
     that its trigram query leaves, rules without mandatory trigrams (``hex``) on all of them.
     """
     rules = (*BASE_RULES, *more)
-    docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     may = small(table(candidates(docs, rules)))
     rows = docs.join(may.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
-    none = F.array().cast("array<struct<start:int,kind:int,stop:int>>")
     columns = []
-    for order, rule in enumerate(rules):
+    for rule in rules:
         asked = F.array_contains("kinds", rule.kind) if trigram_query(rule.regex) else F.lit(True)
-        columns.append(F.when(F.coalesce(asked, F.lit(False)) & F.col("text").rlike(rule.regex), _spans(rule, order)).otherwise(none).alias(rule.kind))
-    found = rows.select("doc_id", *columns)
+        columns.append(F.when(F.coalesce(asked, F.lit(False)) & F.col("text").rlike(rule.regex), _matches(rule)).alias(rule.kind))
+    found = _with_spans(rows.select("doc_id", *columns), rules)
     kinds = [rule.kind for rule in rules]
     base = F.array_sort(F.concat(*[rule.kind for rule in BASE_RULES]))
     every = F.array_sort(F.concat(*kinds))
