@@ -9,14 +9,19 @@
    are skipped, their collisions being counted by probing the signatures of the pairs met.
 3. Pairs with ``matches`` collisions join documents into candidate groups. Each list hands on a
    spanning set of its pairs, never all of them.
-4. Inside a candidate group every pair is confirmed on the full sets: intersections of a block of
-   documents with another come from one product of their incidence matrices. Again a block hands
-   on spanning links only. Components of confirmed links are the result.
-
-Lists and groups beyond ``BLOCK`` members are dealt out as pairs of blocks, so no task holds an
-unbounded one, and no pair is left out. The one loss is statistical: the match threshold lies five
-standard deviations below the expected collisions of a pair at the limit of similarity, so about
-one such pair in a hundred thousand is missed, and far fewer above the limit.
+4. Inside a candidate group pairs are confirmed on the full sets: intersections of a block of
+   documents come from one product of their incidence matrices. Again a block hands on spanning
+   links only. Components of confirmed links are the result.
+
+Lists and groups beyond ``BLOCK`` and ``SETS_BLOCK`` members are dealt out in blocks, each member once.
+What a block links becomes one, of which only the smallest member goes to the next round of blocks,
+until a round joins little. Pairs that are still apart are then compared all: members of the largest
+component go to one row of blocks, the others to all of them (``_across``). No pair of different
+components is left out, and pairs that are linked by others already are not compared again.
+
+The one loss is statistical: the match threshold lies five standard deviations below the expected
+collisions of a pair at the limit of similarity, so about one such pair in a hundred thousand is
+missed, and far fewer above the limit.
 """
 
 from __future__ import annotations
@@ -33,8 +38,8 @@ from factloom.llm.components import connected
 from factloom.llm.runtime import ship, small, table
 
 COORDINATES = 64
-BLOCK = 2048
-SETS_BLOCK = 768
+BLOCK = 512
+SETS_BLOCK = 256
 
 
 def _features(width: int, coordinates: int):
@@ -127,7 +132,7 @@ def _merge_lists(matches: int):
             yield np.stack([ids[label], ids], axis=1)[label != np.arange(len(part))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rep, signature, cuts in T.whole_groups(batches, ["token", "cell"], ["rep", "signature"]):
+        for rep, signature, cuts in T.whole_groups(batches, ["key", "cell"], ["rep", "body"]):
             signatures = _matrix(signature)
             rep = rep.to_numpy(zero_copy_only=False)
             for found in pairs(rep, signatures, cuts):
@@ -146,7 +151,7 @@ def _sets(width: int):
                 n = len(at) - 1
                 raw = values.tobytes()
                 sets = pa.array([raw[at[i] * 8 : at[i + 1] * 8] for i in range(n)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, n), sets], ["rep", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, n), sets], ["rep", "body"])
 
     return run
 
@@ -176,7 +181,7 @@ def _linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 def _confirm(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rep, shingles, cuts in T.whole_groups(batches, ["cluster", "cell"], ["rep", "shingles"]):
+        for rep, shingles, cuts in T.whole_groups(batches, ["key", "cell"], ["rep", "body"]):
             ids = rep.to_numpy(zero_copy_only=False)
             found = []
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
@@ -192,14 +197,62 @@ def _confirm(percent: int):
     return run
 
 
-def _dealt(rows: DataFrame, key: str, block: int) -> DataFrame:
-    """Give rows (key, rep, ...) a cell: groups of at most ``block`` have one, larger ones a cell for each pair of blocks."""
-    large = rows.groupBy(key).count().filter(F.col("count") > block)
-    large = large.select(key, F.ceil(F.col("count") * 2 / block).cast("int").alias("blocks"))
-    rows = rows.join(large, key, "left").withColumn("own", F.expr("int(pmod(xxhash64(rep), blocks))"))
-    cells = F.expr("transform(sequence(0, blocks - 1), j -> least(own, j) * blocks + greatest(own, j))")
-    cells = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(cells)
-    return rows.withColumn("cell", F.explode(cells)).drop("own", "blocks")
+def _in_blocks(rows: DataFrame, block: int, seed: int) -> DataFrame:
+    """Give rows (key, rep) a cell: groups of at most ``block`` have one, larger ones as many as it takes, each row in one of them."""
+    large = rows.groupBy("key").count().filter(F.col("count") > block)
+    large = large.select("key", F.ceil(F.col("count") * 2 / block).alias("blocks"))
+    own = F.pmod(F.xxhash64("rep", F.lit(seed)), F.col("blocks"))
+    return rows.join(large, "key", "left").select("key", "rep", F.coalesce(own, F.lit(0)).cast("long").alias("cell"))
+
+
+def _across(rows: DataFrame, block: int) -> DataFrame:
+    """Give rows (key, rep, component) cells in which each meets all rows of its key that are of other components."""
+    sizes = rows.groupBy("key", "component").count()
+    sizes = sizes.groupBy("key").agg(F.max(F.struct("count", "component")).alias("big"), F.sum("count").alias("n")).filter("n > big.count")
+    count = lambda n: F.ceil(n * 2 / block).cast("long")
+    sizes = sizes.select("key", F.col("big.component").alias("big"), count(F.col("big.count")).alias("wide"), count(F.col("n") - F.col("big.count")).alias("high"))
+    rows = rows.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("component") == F.col("big"), F.col("wide")).otherwise(F.col("high"))))
+    largest = "transform(sequence(0L, high - 1), j -> own * high + j)"
+    others = "concat(transform(sequence(0L, wide - 1), i -> i * high + own), transform(sequence(0L, high - 1), j -> (wide + least(own, j)) * high + greatest(own, j)))"
+    cells = F.when(F.col("component") == F.col("big"), F.expr(largest)).otherwise(F.expr(others))
+    return rows.select("key", "rep", F.explode(cells).alias("cell"))
+
+
+def linked_within(members: DataFrame, bodies, check, block: int) -> DataFrame:
+    """(node, component) over the links that ``check`` finds between members (key, rep) of one key.
+
+    ``bodies`` gives (rep, body) for a DataFrame of reps; ``check`` reads rows (rep, body) sorted by key
+    and cell, and gives spanning links of each cell.
+    """
+    members = table(members.select("key", "rep").distinct())
+
+    def links(dealt: DataFrame) -> DataFrame:
+        rows = dealt.join(bodies(dealt.select("rep")), "rep").select("key", "cell", "rep", "body")
+        return table(rows.repartition("key", "cell").sortWithinPartitions("key", "cell").mapInArrow(check, "a long, b long").distinct())
+
+    def apart(found: DataFrame) -> DataFrame:
+        """The members of large keys with their components, where these are several."""
+        rows = members.join(large, "key").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+        rows = rows.select("key", "rep", F.coalesce("component", "rep").alias("component"))
+        several = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
+        return table(rows.join(several, "key", "left_semi"))
+
+    met = links(_in_blocks(members, block, 0))
+    found = connected(met)
+    large = table(members.groupBy("key").count().filter(F.col("count") > block).select("key"))
+    if large.isEmpty():
+        return found
+    rest, last, seed = apart(found), None, 0
+    while not rest.isEmpty():
+        heads = table(rest.select("key", F.col("component").alias("rep")).distinct())
+        n = heads.count()
+        if last is not None and 2 * n > last:
+            return connected(met.union(links(_across(rest, block))))
+        last, seed = n, seed + 1
+        met = table(met.union(links(_in_blocks(heads, block, seed))))
+        found = connected(met)
+        rest = apart(found)
+    return found
 
 
 def match_threshold(percent: int, coordinates: int) -> int:
@@ -215,8 +268,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
     that is the document itself. A null text counts as empty; empty texts link with nothing, so
     each is its own component. Repeated rows are returned as often as they come, each with the same
     values. A row without doc_id takes the component of the equal sets it meets and is kept only if
-    that is null too. ``matches`` is the match threshold, by default the one the module describes.
-    Other columns of ``docs`` are not read.
+    that is null too; rows of one doc_id with different texts are one node, linked with what any of
+    them is linked with. ``matches`` is the match threshold, by default the one the module describes.
+    An empty table gives none. Other columns of ``docs`` are not read.
     """
     matches = match_threshold(percent, coordinates) if matches is None else matches
     spark = docs.sparkSession
@@ -234,18 +288,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
     first = coordinates - matches + 1
     prefix = shared.filter(F.size("met") >= matches).select("rep", F.explode(F.expr(f"slice(met.token, 1, {first - coordinates} + size(met))")).alias("token"))
     prefix = table(prefix)
-    lists = _dealt(prefix.join(prefix.groupBy("token").count().filter("count > 1").select("token"), "token"), "token", BLOCK)
-    lists = lists.join(signed, "rep").select("token", "cell", "rep", "signature")
-    lists = lists.repartition("token", "cell").sortWithinPartitions("token", "cell")
-    groups = connected(lists.mapInArrow(_merge_lists(matches), "a long, b long"))
-    groups = table(groups.select(F.col("component").alias("cluster"), F.col("node").alias("rep")))
-
-    cells = table(_dealt(groups, "cluster", SETS_BLOCK))
-    members = docs.join(small(groups.select("rep")), docs.doc_id == F.col("rep"), "left_semi")
-    sets = members.mapInArrow(_sets(width), "rep long, shingles binary").dropDuplicates(["rep", "shingles"])
-    sets = sets.join(cells, "rep").select("cluster", "cell", "rep", "shingles")
-    sets = sets.repartition("cluster", "cell").sortWithinPartitions("cluster", "cell")
-    linked = connected(sets.mapInArrow(_confirm(percent), "a long, b long"))
+    lists = prefix.join(prefix.groupBy("token").count().filter("count > 1").select("token"), "token").withColumnRenamed("token", "key")
+    signatures = signed.withColumnRenamed("signature", "body")
+    groups = linked_within(lists, lambda reps: signatures, _merge_lists(matches), BLOCK)
+    groups = table(groups.select(F.col("component").alias("key"), F.col("node").alias("rep")))
+
+    def sets(reps: DataFrame) -> DataFrame:
+        wanted = small(table(reps.distinct()))
+        found = docs.join(wanted, docs.doc_id == F.col("rep"), "left_semi").mapInArrow(_sets(width), "rep long, body binary")
+        return found.dropDuplicates(["rep", "body"])
+
+    linked = linked_within(groups, sets, _confirm(percent), SETS_BLOCK)
 
     named = classes.select("key1", "key2", "n_shingles", "rep").join(linked, F.col("rep") == F.col("node"), "left")
     named = named.select("key1", "key2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))

@@ -51,13 +51,16 @@ def test_against_all_pairs(spark, seed, width, percent):
     assert sorted(map(tuple, found.collect())) == brute(rows, width, percent)
 
 
-def test_small_blocks(spark, monkeypatch):
-    """Lists and groups dealt out as pairs of blocks give the same components."""
+@pytest.mark.parametrize("apart", [4, 60])
+def test_small_blocks(spark, monkeypatch, apart):
+    """Lists and groups that are dealt out in blocks give the same components, be they near one text or chains of several."""
     rng = random.Random(5)
-    base = [f"w{k}" for k in range(150)]
+    bases = [[f"w{k}" for k in range(150)]]
+    for _ in range(5):  # each base shares about three quarters of its shingles with the one before
+        bases.append([f"y{rng.randrange(10**6)}" if k % 25 == 0 else w for k, w in enumerate(bases[-1])])
     rows = []
-    for i in range(80):
-        own = list(base)
+    for i in range(120):
+        own = list(bases[i % 6 if i < apart else 0])
         for _ in range(rng.randint(0, 4)):
             own[rng.randrange(150)] = f"x{rng.randrange(1000)}"
         rows.append((i, " ".join(own)))
@@ -70,6 +73,13 @@ def test_small_blocks(spark, monkeypatch):
 def test_edge_rows(spark):
     schema = "doc_id long, text string"
     assert near_dedup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
+    one, two = "a", "b"  # words that all polynomial hashes modulo a power of two take for equal
+    for _ in range(10):
+        one, two = one + two, two + one
+    found = near_dedup.near_duplicates(spark.createDataFrame([(1, one), (2, two)], schema), 3, 85)
+    assert sorted(map(tuple, found.collect())) == [(1, 1, 1, True), (2, 1, 2, True)]
+    found = near_dedup.near_duplicates(spark.createDataFrame([(4, "a b c"), (4, "d e f"), (5, "d e f"), (6, "a b c")], schema), 3, 85)
+    assert {r.component_id for r in found.collect()} == {4}
     rows = [(None, "a b c"), (7, "a b c"), (7, "a b c"), (3, "long " * 50_000)]
     found = near_dedup.near_duplicates(spark.createDataFrame(rows, schema), 3, 85)
     assert sorted(map(tuple, found.collect()), key=repr) == [(3, 1, 3, True), (7, 1, 7, True), (7, 1, 7, True), (None, 1, 7, False)]
