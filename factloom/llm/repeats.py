@@ -17,8 +17,10 @@ though: equal strings of ``LENGTH`` bytes. So the transform is built over short
    neighbour shares ``LENGTH`` symbols from its column on. Columns, order and prefixes are
    sequential files; a round reads and writes each once.
 
-Anchors of more than ``BLOCK`` classes are not sorted in one task: the strings of their contexts are
-counted by a 128-bit hash instead, in a distributed aggregation.
+Anchors of more than ``BLOCK`` classes are lengthened first: two contexts share a string only if half of
+what it has beside the anchor agrees on the left, or the rest on the right. So each context goes to
+the group of the anchor with these bytes on its left, and to that with those on its right, and so on
+until no group is large (``_lengthened``); at the end of that an anchor is the whole string.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import tempfile
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +40,8 @@ from factloom.llm.runtime import ship, small, table
 
 LENGTH = 200
 ANCHOR = 64
-#: Contexts sorted together, and classes of an anchor up to which they are sorted in one task.
-BLOCK = 20_000
+#: Classes up to which the contexts of an anchor are sorted in one task, and contexts sorted together.
+BLOCK, SORTED = 2000, 20_000
 PLACE = ("at", "first", "last", "n", "stop")
 
 
@@ -167,7 +170,7 @@ def sort_columns(contexts: list[bytes], shift: np.ndarray, length: int, columns:
             yield column, order[long]
 
 
-def _repeated(length: int, anchor: int, block: int):
+def _repeated(length: int, anchor: int):
     span = length - anchor
     columns = 2 * span + anchor
 
@@ -177,6 +180,9 @@ def _repeated(length: int, anchor: int, block: int):
         def solve() -> Iterator[pa.RecordBatch]:
             single, uid, first, shift, context = (np.concatenate([h[k] for h in held]) for k in range(5))
             held.clear()
+            # Lengthened anchors may bring a context more than once; it is no repeat of itself.
+            once = np.unique(np.stack([uid, first, shift]), axis=1, return_index=True)[1]
+            single, uid, first, shift, context = (x[once] for x in (single, uid, first, shift, context))
             marks = np.zeros((len(uid), span + 1), dtype=bool)
             for column, which in sort_columns(list(context), shift + span, length, columns):
                 if column <= span:
@@ -192,7 +198,7 @@ def _repeated(length: int, anchor: int, block: int):
             texts[:] = context.to_pylist()
             numbers = [c.to_numpy(zero_copy_only=False) for c in (single, uid, first, shift)]
             held.append((numbers[0], numbers[1], numbers[2].astype(np.int64), numbers[3].astype(np.int64), texts))
-            if sum(len(h[0]) for h in held) >= block:
+            if sum(len(h[0]) for h in held) >= SORTED:
                 yield from solve()
         if held:
             yield from solve()
@@ -200,19 +206,33 @@ def _repeated(length: int, anchor: int, block: int):
     return run
 
 
-def _strings(length: int):
-    """Hashes of every string of a context."""
+def _lengthened(contexts: DataFrame, length: int, anchor: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Contexts in groups (``anchor``) of at most ``block``, and (uid, from, to) of strings that whole groups share.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for uid, first, single, context in zip(*(batch.column(c).to_pylist() for c in ("uid", "first", "single", "context")), strict=True):
-                total, down = _prefix_hash(np.frombuffer(context, dtype=np.uint8))
-                own = (total[length:] - total[:-length]) * down[: len(total) - length]
-                n = len(own)
-                keys = [pa.array(T.mix(own, seed).view(np.int64)) for seed in (21, 22)]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array([uid] * n), pa.array(first + np.arange(n)), pa.array([single] * n)], ["k1", "k2", "uid", "start", "single"])
-
-    return run
+    ``left`` and ``right`` are the bytes beside the anchor that all of a group have; of the others that a
+    string needs, half (rounded up) have to agree further left or the rest further right. Contexts
+    that end before these bytes have no such string. Rounds are the logarithm of ``length``.
+    """
+    span = length - anchor
+    groups, ready, shared = contexts.withColumns({"left": F.lit(0), "right": F.lit(0)}), [], []
+    while True:
+        large = groups.groupBy("anchor").count().filter(F.col("count") > block).select("anchor")
+        large = table(large)
+        ready.append(groups.join(small(large), "anchor", "left_anti"))
+        if large.isEmpty():
+            break
+        over = table(groups.join(small(large), "anchor", "left_semi"))
+        begin = (F.col("first") - F.col("shift") - F.col("left")).cast("long")
+        shared.append(over.filter((F.col("left") + F.col("right") == span) & F.col("single")).select("uid", begin.alias("from"), (begin + length).alias("to")))
+        over = over.filter(F.col("left") + F.col("right") < span).withColumn("open", span - F.col("left") - F.col("right"))
+        more_left, more_right = F.ceil(F.col("open") / 2).cast("int"), F.floor(F.col("open") / 2).cast("int") + 1
+        to_left = over.withColumn("more", more_left).filter(-F.col("shift") >= F.col("left") + F.col("more"))
+        to_left = to_left.withColumns({"anchor": F.xxhash64("anchor", F.lit("left"), F.expr("substring(context, 1 - shift - left - more, more)")), "left": F.col("left") + F.col("more")})
+        to_right = over.withColumn("more", more_right).filter(F.octet_length("context") + F.col("shift") - anchor >= F.col("right") + F.col("more"))
+        to_right = to_right.withColumns({"anchor": F.xxhash64("anchor", F.lit("right"), F.expr(f"substring(context, 1 - shift + {anchor} + right, more)")), "right": F.col("right") + F.col("more")})
+        groups = table(to_left.unionByName(to_right).drop("open", "more"))
+    none = contexts.filter(F.lit(False)).select("uid", F.lit(0).cast("long").alias("from"), F.lit(0).cast("long").alias("to"))
+    return reduce(DataFrame.unionByName, ready), reduce(DataFrame.unionByName, shared, none)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,21 +272,18 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     copied = repeated.filter("alike").select("uid", "first", "stop").unionByName(copied.select("uid", "first", "stop"))
     ranges = copied.select("uid", F.col("first").cast("long").alias("from"), (F.col("stop") + length).cast("long").alias("to"))
 
-    open_anchors = classes.groupBy("anchor").agg(F.min("n").alias("least"), F.count("*").alias("classes")).filter("least = 1")
-    wanted = classes.join(open_anchors, "anchor").select("anchor", "classes", "n", "one.*")
+    open_anchors = classes.groupBy("anchor").agg(F.min("n").alias("least")).filter("least = 1")
+    wanted = classes.join(open_anchors, "anchor").select("anchor", "n", "one.*")
     wanted = wanted.groupBy("uid").agg(F.collect_list(F.struct("anchor", "n", "at", "first", "last")).alias("wanted"))
     wanted = table(wanted)
     texts = docs.join(small(wanted.select("uid")), "uid", "left_semi").dropDuplicates(["uid"])
     schema = "anchor long, single boolean, uid long, first int, shift int, context binary"
     contexts = texts.join(wanted, "uid").select("uid", "text", "wanted").mapInArrow(_contexts(length), schema)
     contexts = table(contexts)
-    large = small(table(open_anchors.filter(F.col("classes") > block).select("anchor")))
-    sorted_apart = contexts.join(large, "anchor", "left_anti").repartition("anchor").sortWithinPartitions("anchor")
-    partly = sorted_apart.mapInArrow(_repeated(length, anchor, block), "uid long, from long, to long")
-    strings = contexts.join(large, "anchor", "left_semi").mapInArrow(_strings(length), "k1 long, k2 long, uid long, start long, single boolean")
-    counted = strings.groupBy("k1", "k2").agg(F.count("*").alias("n")).filter("n > 1").select("k1", "k2")
-    counted = strings.filter("single").join(counted, ["k1", "k2"], "left_semi").select("uid", F.col("start").alias("from"), (F.col("start") + length).alias("to"))
-    return ranges.unionByName(partly).unionByName(counted)
+    grouped, shared = _lengthened(contexts, length, anchor, block)
+    grouped = grouped.repartition("anchor").sortWithinPartitions("anchor")
+    partly = grouped.mapInArrow(_repeated(length, anchor), "uid long, from long, to long")
+    return ranges.unionByName(partly).unionByName(shared)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, block: int = BLOCK) -> DataFrame:
