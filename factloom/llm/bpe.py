@@ -31,6 +31,25 @@ def byte_letters() -> list[str]:
     return [chr(b if b in shown else next(hidden)) for b in range(256)]
 
 
+#: The settings that this encoder follows, as the definition names them; a missing one counts as null.
+_MODEL = {"type": ("BPE",), "dropout": (None, 0.0), "unk_token": (None,), "continuing_subword_prefix": (None, ""), "end_of_word_suffix": (None, ""), "byte_fallback": (None, False), "ignore_merges": (None, False)}
+_SPLITTER = {"type": ("ByteLevel",), "add_prefix_space": (False,), "use_regex": (None, True)}
+_ADDED = {"single_word": (None, False), "lstrip": (None, False), "rstrip": (None, False), "normalized": (None, False)}
+
+
+def check_definition(definition: dict) -> None:
+    """Raise ValueError if a tokenizer definition has settings under which other ids would come out than ``Encoder`` gives."""
+    found = [("model", definition["model"], _MODEL), ("pre_tokenizer", definition.get("pre_tokenizer") or {}, _SPLITTER)]
+    found += [("added token", x, _ADDED) for x in definition.get("added_tokens") or ()]
+    found += [("definition", definition, {"normalizer": (None,)}), ("decoder", definition.get("decoder") or {}, {"type": ("ByteLevel",)})]
+    for where, settings, known in found:
+        for name, values in known.items():
+            if settings.get(name) not in values:
+                raise ValueError(f"{where}: {name} = {settings.get(name)!r} is not supported")
+    if missing := [b for b, letter in enumerate(byte_letters()) if letter not in definition["model"]["vocab"]]:
+        raise ValueError(f"the vocabulary has no token for the bytes {missing}")
+
+
 class Encoder(dict):
     """Maps a piece of text to its ids, packed as little-endian 32-bit integers; fills itself.
 
@@ -42,9 +61,10 @@ class Encoder(dict):
     def __init__(self, definition: bytes):
         super().__init__()
         definition = json.loads(definition)
+        check_definition(definition)
         byte_of = {letter: b for b, letter in enumerate(byte_letters())}
         vocabulary = definition["model"]["vocab"]
-        self.special = {x["content"]: x["id"] for x in definition["added_tokens"]}
+        self.special = {x["content"]: x["id"] for x in definition.get("added_tokens") or ()}
         self.bytes = [b""] * (1 + max([*vocabulary.values(), *self.special.values()]))
         for token, i in vocabulary.items():
             if token not in self.special:
@@ -159,12 +179,15 @@ def encode_documents(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     ids are those of the byte-level BPE defined in ``tokenizer_file`` for the whole text, special
     tokens recognised in it and none added; decoded is the text that the ids stand for. Null text is
     empty and has no ids; each row is treated by itself, so repeated rows agree. The file is read
-    by the driver and broadcast: its size is that of a vocabulary.
+    by the driver and broadcast: its size is that of a vocabulary. Settings of it that this encoder does
+    not follow are a ValueError (``check_definition``). An empty table gives none.
     """
     spark = docs.sparkSession
     ship(spark)
     with open(tokenizer_file, "rb") as f:
-        definition = spark.sparkContext.broadcast(f.read())
+        raw = f.read()
+    check_definition(json.loads(raw))
+    definition = spark.sparkContext.broadcast(raw)
     kept = [c for c in docs.columns if c not in ("ids", "decoded")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -56,8 +56,14 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(a) + len(b) - shared)
 
 
-def containment(a: np.ndarray, b: np.ndarray) -> float:
-    """Estimated share of the first text's shingles that the second has, however unequal the two are."""
+def containment(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> float | None:
+    """Estimated share of the first text's shingles that the second has, however unequal the two are.
+
+    None where that cannot be told: a lone hash above the bound stands for a text too short to retain
+    any, and is in no sketch of a text that retains some.
+    """
+    if len(a) == 1 and a[0] >= np.uint64((1 << 64) // scale) and not (len(b) == 1 and b[0] == a[0]):
+        return None
     return len(np.intersect1d(a, b, assume_unique=True)) / len(a) if len(a) else 1.0
 
 

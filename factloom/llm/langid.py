@@ -19,6 +19,8 @@ FEATURES = 1 << 15
 ORDERS = 3
 #: Bound of the training sample: labelled rows of a language that the classifier sees at most (about).
 TRAIN_ROWS = 1000
+#: Languages that can be learned at most: the sample and the weights are held by the driver.
+MOST_LANGUAGES = 500
 FOLDS, HELD_OUT = 5, 0
 UNDETERMINED = "und"
 
@@ -125,7 +127,8 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
     Document frequencies come from all of these texts. The regression itself is fitted on a bounded
     sample, about ``rows`` of each language and the same whichever way the table is partitioned; a
-    fifth of the sample is kept for the temperature. The driver holds the sample's n-gram counts.
+    fifth of the sample is kept for the temperature. The driver holds the sample's n-gram counts, so more
+    than ``MOST_LANGUAGES`` values of lang are a ValueError. An empty table gives a model without languages.
     """
     ship(docs.sparkSession)
     learn = docs.filter((F.crc32(id_text()) % FOLDS != HELD_OUT) & F.col("lang").isNotNull())
@@ -138,14 +141,14 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
             seen[r.feature] = r.df
     idf = np.log((1 + total) / (1 + seen)) + 1
 
-    counts = {r.lang: r.n for r in learn.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    take = F.lit(False)
-    for lang, n in counts.items():
-        part = F.pmod("tie", F.lit(1 << 30)) < F.lit(int(min(1.0, rows / n) * (1 << 30)))
-        take = take | ((F.col("lang") == lang) & part)
+    counts = {r.lang: r.n for r in learn.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"lang has more than {MOST_LANGUAGES} values")
     languages = sorted(counts)
+    shares = docs.sparkSession.createDataFrame([(x, int(min(1.0, rows / counts[x]) * (1 << 30))) for x in languages], "lang string, share long")
+    take = learn.join(F.broadcast(shares), "lang").filter(F.pmod("tie", F.lit(1 << 30)) < F.col("share")).select(*learn.columns)
     sample = []
-    for r in learn.filter(take).mapInArrow(_sample_vectors, "lang string, tie long, features array<int>, counts array<int>").toLocalIterator():
+    for r in take.mapInArrow(_sample_vectors, "lang string, tie long, features array<int>, counts array<int>").toLocalIterator():
         features = np.array(r.features, dtype=np.int32)
         sample.append((r.tie, languages.index(r.lang), features, _weighted(features, np.array(r.counts, dtype=np.float64), idf)))
     sample.sort(key=lambda x: x[0])

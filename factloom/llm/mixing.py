@@ -14,6 +14,8 @@ from factloom.llm.runtime import ship, table
 
 BLOCK_WORDS = 128
 SHARDS = 256
+#: Sources at most: the driver holds their list, and their block counts for each shard.
+MOST_SOURCES = 10_000
 WEIGHTS = (5, 2, 1)
 
 
@@ -100,7 +102,9 @@ def _plan(docs: DataFrame, block: int, shards: int, seed: int, weights: tuple[in
 
     # One row for a source: the driver holds the list of sources, nothing of their documents.
     sums = sized.groupBy("source", "part").agg(F.sum("size").alias("words"))
-    sizes = {r.source: r.words for r in sums.groupBy("source").agg(F.sum("words").alias("words")).collect()}
+    sizes = {r.source: r.words for r in sums.groupBy("source").agg(F.sum("words").alias("words")).limit(MOST_SOURCES + 1).collect()}
+    if len(sizes) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
     names = sorted((x for x in sizes if x is not None)) + [None] * (None in sizes)
     total = [int(sizes[x]) for x in names]
     target = targets(total, weights, share, most) if names else []
@@ -148,7 +152,8 @@ def mix_sources(docs: DataFrame, block: int = BLOCK_WORDS, shards: int = SHARDS,
     taken is the number of words used, repeats counted.
 
     Everything follows from the rows and ``seed``: reruns agree. A text that is null or without words
-    has size 0 and nothing is taken from it; rows that repeat are packed one after the other.
+    has size 0 and nothing is taken from it; rows that repeat are packed one after the other. An empty
+    table gives none; more than ``MOST_SOURCES`` sources are a ValueError.
     """
     placed, _, pieces = _plan(docs, block, shards, seed, weights, share, most)
     taken = pieces.groupBy(F.col("row").alias("_row")).agg(F.sum((F.col("to") - F.col("from")) * F.col("uses")).alias("taken"))

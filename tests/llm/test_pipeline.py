@@ -53,8 +53,25 @@ def test_pipeline(spark, tmp_path):
     assert abs(sum(uses.values()) - 1.5 * sum(size.values())) < 0.02 * sum(size.values())
 
 
-def test_stages_keep_columns(spark):
-    docs = spark.createDataFrame([(1, "Ein Haus und", "de", "s", 12), (2, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, "").columns == docs.columns
-    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), "").count() == 0
+def test_stages_on_edge_rows(spark):
+    """Null ids and texts, repeats, ties, names that the operators use: defined results, other columns untouched."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, score double, rep int, kept string"
+    long = "Der Bach fließt ruhig durch das weite Tal und die alten Mühlen stehen still am Ufer. " * 3
+    rows = [(1, long + "a", "de", "s"), (2, long + "b", "de", "s"), (2, long + "b", "de", "s"), (None, long + "c", "de", None), (None, long + "c", "de", None), (None, "solo", "de", "t"), (None, "solo", "de", "t"), (4, None, None, None), (5, "", None, None), (6, "123 !?", None, "s"), (None, None, None, None)]
+    df = spark.createDataFrame([(*r, 7, "own", -7.0, 3, "k") for r in rows], schema)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = lambda name, docs=df: sorted(((r.doc_id, r.text) for r in stages[name](spark, docs, "").collect()), key=repr)
+    for name in ("language", "exact", "near"):
+        out = stages[name](spark, df, "")
+        assert out.columns == df.columns and out.dtypes == df.dtypes
+        assert {tuple(r[4:]) for r in out.collect()} == {(7, "own", -7.0, 3, "k")}
+    assert kept("near") == sorted([(1, long + "a"), (None, "solo"), (4, None), (5, ""), (6, "123 !?"), (None, None)], key=repr)
+    assert kept("exact") == sorted([(1, long + "a"), (2, long + "b"), (None, long + "c"), (None, "solo"), (5, ""), (6, "123 !?")], key=repr)
+    unlabelled = df.withColumn("lang", langid.F.lit(None).cast("string"))
+    assert kept("language", unlabelled) == sorted([r[:2] for r in rows if r[1] and r[1] != "123 !?"], key=repr)
+    mixed = stages["mix"](spark, df, "")
+    assert mixed.columns == df.columns and {r.doc_id for r in mixed.collect()} <= {1, 2, 6, None}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, df.limit(0), "").count() == 0
+        assert name == "tokens" or stage(spark, df.limit(0), "").columns == df.columns
+    assert sorted(r.n_tokens for r in stages["tokens"](spark, df, "").collect())[:3] == [0, 0, 0]

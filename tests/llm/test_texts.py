@@ -73,6 +73,23 @@ def test_bpe(spark):
     assert bpe.encode_documents(df.limit(0), file).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("where", "name", "value"),
+    [("pre_tokenizer", "add_prefix_space", True), ("pre_tokenizer", "type", "Whitespace"), ("model", "ignore_merges", True), ("model", "byte_fallback", True), (None, "normalizer", {"type": "NFC"}), ("added", "lstrip", True)],
+)
+def test_bpe_refuses_other_settings(where, name, value):
+    import json
+
+    definition = json.load(open(tokenizer_file()))
+    (definition["added_tokens"][0] if where == "added" else definition[where] if where else definition)[name] = value
+    with pytest.raises(ValueError, match=name):
+        bpe.Encoder(json.dumps(definition).encode())
+    definition = json.load(open(tokenizer_file()))
+    del definition["model"]["vocab"][bpe.byte_letters()[200]]
+    with pytest.raises(ValueError, match="200"):
+        bpe.check_definition(definition)
+
+
 def plain_repeats(rows, length):
     seen, out = Counter(), []
     raws = [(i, (t or "").encode()) for i, t in rows]
@@ -89,7 +106,7 @@ def plain_repeats(rows, length):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("block", [repeats.BLOCK, 3])
+@pytest.mark.parametrize("block", [repeats.BLOCK, 3, 1])
 def test_repeats(spark, block):
     rng = random.Random(3)
     noise = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
