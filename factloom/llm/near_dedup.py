@@ -15,7 +15,7 @@
 
 Lists and groups beyond ``BLOCK`` and ``SETS_BLOCK`` members are dealt out in blocks, each member once.
 What a block links becomes one, of which only the smallest member goes to the next round of blocks,
-until a round joins little. Pairs that are still apart are then compared all: members of the largest
+until these of a group fit one block or a round joins little. Pairs that are still apart are then compared all: members of the largest
 component go to one row of blocks, the others to all of them (``_across``). No pair of different
 components is left out, and pairs that are linked by others already are not compared again.
 
@@ -38,8 +38,8 @@ from factloom.llm.components import connected
 from factloom.llm.runtime import ship, small, table
 
 COORDINATES = 64
-BLOCK = 512
-SETS_BLOCK = 256
+BLOCK = 1024
+SETS_BLOCK = 512
 
 
 def _features(width: int, coordinates: int):
@@ -197,11 +197,9 @@ def _confirm(percent: int):
     return run
 
 
-def _in_blocks(rows: DataFrame, block: int, seed: int) -> DataFrame:
-    """Give rows (key, rep) a cell: groups of at most ``block`` have one, larger ones as many as it takes, each row in one of them."""
-    large = rows.groupBy("key").count().filter(F.col("count") > block)
-    large = large.select("key", F.ceil(F.col("count") * 2 / block).alias("blocks"))
-    own = F.pmod(F.xxhash64("rep", F.lit(seed)), F.col("blocks"))
+def _in_blocks(rows: DataFrame, large: DataFrame, block: int, seed: int) -> DataFrame:
+    """Give rows (key, rep) a cell: those of ``large`` (key, count) keys one of as many as it takes, all others the first."""
+    own = F.pmod(F.xxhash64("rep", F.lit(seed)), F.ceil(F.col("count") * 2 / block))
     return rows.join(large, "key", "left").select("key", "rep", F.coalesce(own, F.lit(0)).cast("long").alias("cell"))
 
 
@@ -232,24 +230,26 @@ def linked_within(members: DataFrame, bodies, check, block: int) -> DataFrame:
 
     def apart(found: DataFrame) -> DataFrame:
         """The members of large keys with their components, where these are several."""
-        rows = members.join(large, "key").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+        rows = members.join(large.select("key"), "key").join(found.withColumnRenamed("node", "rep"), "rep", "left")
         rows = rows.select("key", "rep", F.coalesce("component", "rep").alias("component"))
         several = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
         return table(rows.join(several, "key", "left_semi"))
 
-    met = links(_in_blocks(members, block, 0))
+    crowded = lambda rows: rows.groupBy("key").count().filter(F.col("count") > block)
+    large = small(table(crowded(members)))
+    met = links(_in_blocks(members, large, block, 0))
     found = connected(met)
-    large = table(members.groupBy("key").count().filter(F.col("count") > block).select("key"))
     if large.isEmpty():
         return found
-    rest, last, seed = apart(found), None, 0
+    rest, last, together = apart(found), None, False
     while not rest.isEmpty():
         heads = table(rest.select("key", F.col("component").alias("rep")).distinct())
         n = heads.count()
-        if last is not None and 2 * n > last:
+        if together or last is not None and 2 * n > last:
             return connected(met.union(links(_across(rest, block))))
-        last, seed = n, seed + 1
-        met = table(met.union(links(_in_blocks(heads, block, seed))))
+        several = crowded(heads)
+        last, together = n, several.isEmpty()
+        met = table(met.union(links(_in_blocks(heads, several, block, n))))
         found = connected(met)
         rest = apart(found)
     return found
