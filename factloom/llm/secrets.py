@@ -37,6 +37,9 @@ MORE_RULES = (
 )
 
 MOST_STRINGS = 16
+MOST_TRIGRAMS = 2
+#: Fixed value: letters from the most to the least frequent in English; anything else counts as rarer (find() gives -1).
+_FREQUENT = "etaoinsrhldcumfpgwybvkxjqz"
 #: Documents whose postings are intersected together.
 LIST_DOCS = 4096
 
@@ -108,26 +111,25 @@ def trigram_query(regex: str) -> list[list[frozenset[str]]]:
     return found
 
 
-def _any_of(trigrams: list[str]) -> str:
-    """A regex that finds every place where one of the trigrams begins, as its group 1: branches by first and second letter."""
-    quoted = lambda c: c if c.isalnum() else f"\\{c}"
-    tree: dict[str, dict[str, list[str]]] = {}
-    for a, b, c in trigrams:
-        tree.setdefault(a, {}).setdefault(b, []).append(c)
-    seconds = lambda after: "|".join(f"{quoted(b)}[{''.join(map(quoted, c))}]" for b, c in after.items())
-    return f"(?=({'|'.join(f'{quoted(a)}(?:{seconds(after)})' for a, after in tree.items())}))"
+def rarest(option: frozenset[str]) -> list[str]:
+    """The ``MOST_TRIGRAMS`` of a string's trigrams that text has least, judged by their letters: these are looked up.
+
+    Fewer trigrams than a match has leave more candidates, never fewer.
+    """
+    return sorted(option, key=lambda t: (-sum(_FREQUENT.find(c) % 99 for c in t), t))[:MOST_TRIGRAMS]
 
 
 def posting_lists(docs: DataFrame, trigrams: list[str]) -> DataFrame:
     """(block, trigram, ids): the index, for the trigrams that some rule asks for.
 
     A list holds the sorted doc_ids of one of many blocks of documents, so a frequent trigram has a list
-    in each block and none of these grows with the table. One pass over a text finds its trigrams.
+    in each block and none of these grows with the table.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = max(parts, -(-docs.count() // LIST_DOCS))
-    met = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_any_of(trigrams)), F.lit(1)))
-    postings = docs.select("doc_id", F.explode(met).alias("trigram"))
+    low = docs.select("doc_id", F.lower("text").alias("low"))
+    met = F.array_compact(F.array(*[F.when(F.contains("low", F.lit(t)), F.lit(t)) for t in trigrams]))
+    postings = low.select("doc_id", F.explode(met).alias("trigram"))
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block")
     return postings.groupBy(block, "trigram").agg(F.sort_array(F.collect_set("doc_id")).alias("ids"), F.max(F.col("doc_id").isNull()).alias("null_id"))
 
@@ -136,17 +138,17 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """(doc_id, kinds): which rules with mandatory trigrams may match a document.
 
     Within a block of documents each rule's query is evaluated on the lists: those of a string's
-    trigrams are intersected, alternatives united, conditions intersected. A null doc_id stands for
+    rarest trigrams are intersected, alternatives united, conditions intersected. A null doc_id stands for
     all rows without one; it is in no list and is a candidate of every rule if any such row has a trigram.
     """
     queries = {rule.kind: q for rule in rules if (q := trigram_query(rule.regex))}
-    trigrams = sorted({t for q in queries.values() for options in q for option in options for t in option})
+    trigrams = sorted({t for q in queries.values() for options in q for option in options for t in rarest(option)})
     lists = table(posting_lists(docs, trigrams))
     held = lists.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "ids"))).alias("lists"), F.max("null_id").alias("null_id"))
     none = F.array().cast(lists.schema["ids"].dataType)
 
     def ids(query: list[list[frozenset[str]]]) -> Column:
-        ids_of = lambda option: reduce(F.array_intersect, [F.coalesce(F.try_element_at("lists", F.lit(t)), none) for t in sorted(option)])
+        ids_of = lambda option: reduce(F.array_intersect, [F.coalesce(F.try_element_at("lists", F.lit(t)), none) for t in rarest(option)])
         return reduce(F.array_intersect, [reduce(F.array_union, [ids_of(o) for o in options]) for options in query])
 
     found = held.select("null_id", F.explode(F.array(*[F.struct(F.lit(kind).alias("kind"), ids(q).alias("ids")) for kind, q in queries.items()])).alias("x"))
