@@ -14,6 +14,8 @@ from factloom.llm.runtime import ship, table
 
 BLOCK_WORDS = 128
 SHARDS = 256
+#: A source has at least this many blocks, shorter ones if need be: its quota is rounded to a block.
+LEAST_BLOCKS = 64
 #: Sources at most: the driver holds their list, and their block counts for each shard.
 MOST_SOURCES = 10_000
 WEIGHTS = (5, 2, 1)
@@ -34,6 +36,11 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, share: float =
         capped.update(over)
 
 
+def block_length(size: int, block: int) -> int:
+    """Words in each block of a source of ``size`` words: ``block``, or less where that gave under ``LEAST_BLOCKS`` of them."""
+    return max(1, min(block, size // LEAST_BLOCKS))
+
+
 def draw_shards(quotas: list[int], shards: int, seed: int) -> np.ndarray:
     """Blocks of each source in each output shard: multinomial by what is left, so that the columns sum to the quotas."""
     rng = np.random.default_rng(seed)
@@ -108,10 +115,11 @@ def _plan(docs: DataFrame, block: int, shards: int, seed: int, weights: tuple[in
     names = sorted((x for x in sizes if x is not None)) + [None] * (None in sizes)
     total = [int(sizes[x]) for x in names]
     target = targets(total, weights, share, most) if names else []
-    blocks = np.array([-(-n // block) for n in total], dtype=np.int64)
+    lengths = [block_length(n, block) for n in total]
+    blocks = np.array([-(-n // length) for n, length in zip(total, lengths, strict=True)], dtype=np.int64)
     quotas = [int(min(np.floor(most * b), round(t * b / n))) if n else 0 for t, b, n in zip(target, blocks, total, strict=True)]
-    rows = [(i, *x) for i, x in enumerate(zip(names, total, target, strict=True))]
-    sources = spark.createDataFrame(rows, "source_no int, source string, source_size long, target double")
+    rows = [(i, *x) for i, x in enumerate(zip(names, total, target, lengths, strict=True))]
+    sources = spark.createDataFrame(rows, "source_no int, source string, source_size long, target double, length int")
 
     drawn = draw_shards(quotas, shards, seed) if names else np.zeros((1, 1), dtype=np.int64)
     start = np.cumsum(drawn, axis=0) - drawn
@@ -125,16 +133,16 @@ def _plan(docs: DataFrame, block: int, shards: int, seed: int, weights: tuple[in
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("source", "part", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
     joined = offsets.join(F.broadcast(sources), offsets.source.eqNullSafe(sources.source)).select(
-        F.col("part").alias("_part"), offsets.source.alias("_source"), "offset", "source_no", "source_size", "target"
+        F.col("part").alias("_part"), offsets.source.alias("_source"), "offset", "source_no", "source_size", "target", "length"
     )
     within = Window.partitionBy("part", "source").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0)))
     placed = placed.join(joined, (F.col("part") == F.col("_part")) & F.col("source").eqNullSafe(F.col("_source")))
-    placed = placed.withColumn("start", F.col("offset") + F.col("within")).select("doc_id", "tie", "size", "row", "source_no", "source_size", "target", "start")
-    ends = F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))
-    pieces = placed.filter("size > 0").select("row", "doc_id", "tie", "source_no", "start", "size", F.explode(ends).alias("block"))
-    at = F.greatest(F.col("block") * block, F.col("start")) - F.col("start")
-    to = F.least((F.col("block") + 1) * block, F.col("start") + F.col("size")) - F.col("start")
+    placed = placed.withColumn("start", F.col("offset") + F.col("within")).select("doc_id", "tie", "size", "row", "source_no", "source_size", "target", "length", "start")
+    ends = F.sequence(F.floor(F.col("start") / F.col("length")), F.floor((F.col("start") + F.col("size") - 1) / F.col("length")))
+    pieces = placed.filter("size > 0").select("row", "doc_id", "tie", "source_no", "start", "size", "length", F.explode(ends).alias("block"))
+    at = F.greatest(F.col("block") * F.col("length"), F.col("start")) - F.col("start")
+    to = F.least((F.col("block") + 1) * F.col("length"), F.col("start") + F.col("size")) - F.col("start")
     pieces = pieces.select("row", "doc_id", "tie", "source_no", "block", at.alias("from"), to.alias("to"))
     return placed, sources, pieces.join(uses, ["source_no", "block"])
 
@@ -143,7 +151,8 @@ def mix_sources(docs: DataFrame, block: int = BLOCK_WORDS, shards: int = SHARDS,
     """One row for each row of ``docs`` (doc_id, text, source): doc_id, size, source_size, target, taken.
 
     The words of a source, its documents in the order of doc_id, are packed end to end into blocks
-    of ``block`` words; the last may be short. Sources by code point, null last, weigh ``weights``
+    of ``block`` words; the last may be short. A source of less than ``LEAST_BLOCKS`` such blocks has
+    shorter ones, all of one length, so that rounding stays a small part of its target. Sources by code point, null last, weigh ``weights``
     (repeating) and share ``share`` of all words, none above ``most`` times its size. Each output
     shard draws multinomial counts of blocks from what is left of these quotas, so the totals meet
     them to a block. A slot of a source walks through pseudorandom permutations of its blocks, one

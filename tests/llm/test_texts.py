@@ -159,6 +159,9 @@ def test_mix(spark):
         words[r.doc_id] += len(r.text.split())
     assert all(words[i] == t for i, t in zip(found.doc_id, found.taken, strict=True))
     assert mixing.mix_sources(frame(spark, EDGE)).count() == len(EDGE)
+    rows = [(i, "w " * (1 + 7 * i), f"s{i:02}") for i in range(40)]
+    for r in mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect():
+        assert abs(r.taken - r.target) <= 1 + r.size / 32 and r.taken <= 2 * r.size, "sources far below a block meet their targets"
     empty = frame(spark, EDGE).limit(0)
     assert mixing.mix_sources(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
 
