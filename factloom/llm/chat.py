@@ -36,6 +36,35 @@ def _with_earlier(ordered: DataFrame, group: list[str], **values: str) -> DataFr
     return added.drop(*[f"__{k}" for k in values])
 
 
+def _digest(role: Column, text: Column) -> Column:
+    return F.unhex(F.md5(F.concat_ws("\u0000", role, text)))
+
+
+def _in_parts(rows: DataFrame, part_messages: int) -> DataFrame:
+    """conv_id, part, messages, perspective and the code point of the rendering at which the part starts, from rows of messages."""
+    rows = rows.withColumn("digest", _digest(F.col("role"), F.col("text")))
+    rows = rows.withColumn("has_turn", F.col("turn").isNotNull()).withColumn("turn_no", F.coalesce("turn", F.lit(0)))
+    slim = rows.select("conv", *ORDER, F.length("text").alias("n_text")).dropDuplicates(["conv", *ORDER])
+    # Length where the role is another participant's; as the assistant's it is shorter by the role and a line end.
+    length = F.length(_opening(F.col("role"), F.lit(None))) + F.col("n_text") + len(END)
+    slim = slim.withColumn("length", length.cast("long")).withColumn("one", F.lit(1)).drop("n_text")
+    slim = _with_earlier(_ordered(slim, "conv", *ORDER), ["conv"], at="length", one_before="one")
+    slim = table(slim.withColumn("part", F.floor(F.col("one_before") / part_messages).cast("long")))
+
+    people = small(table(slim.select("conv", F.col("role").alias("perspective")).distinct()))
+    parts = slim.groupBy("conv", "part").agg(F.min("at").alias("at"))
+    own = slim.groupBy("conv", "part", F.col("role").alias("perspective")).agg(F.count("*").alias("own"))
+    starts = parts.join(people, "conv").join(own, ["conv", "part", "perspective"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    starts = _with_earlier(_ordered(starts, "conv", "perspective", "part"), ["conv", "perspective"], own_before="own")
+    shorter = F.length(_opening(F.col("perspective"), F.lit(None))) - F.length(_opening(F.col("perspective"), F.col("perspective")))
+    starts = starts.select("conv", "part", "perspective", (F.col("at") - F.col("own_before") * shorter).alias("start"))
+
+    whole = rows.dropDuplicates(["conv", *ORDER]).join(slim.select("conv", *ORDER, "part"), ["conv", *ORDER])
+    message = F.struct("turn", "digest", "role", "text")
+    grouped = whole.groupBy("conv", "part").agg(F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list(message)).alias("messages"))
+    return grouped.join(starts, ["conv", "part"]).select("conv_id", "part", "messages", "perspective", "start")
+
+
 def rotate_perspectives(conversations: DataFrame, part_messages: int = PART_MESSAGES) -> DataFrame:
     """conv_id, perspective, part, n_messages, rendered, mask_spans, n_masked.
 
@@ -51,8 +80,10 @@ def rotate_perspectives(conversations: DataFrame, part_messages: int = PART_MESS
     from 0: ``rendered`` and mask_spans joined in the order of part are those of the whole
     conversation, as the spans count from its beginning. Columns other than the four are not read.
 
-    Order, cuts and lengths come from rows without texts, sorted by range over all conversations; a
-    text is dealt out once to drop repeats and once to its part.
+    A conversation of at most ``part_messages`` rows is one part and is collected as it is. Of all
+    others, order, cuts and lengths come from rows without texts, sorted by range over all
+    conversations; a text is dealt out once to drop repeats and once to its part. Which way a
+    conversation goes does not change its rows.
     """
     rows = conversations.select(
         F.col("conv_id"),
@@ -61,27 +92,16 @@ def rotate_perspectives(conversations: DataFrame, part_messages: int = PART_MESS
         F.coalesce(F.col("role").cast("string"), F.lit("unknown")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    rows = rows.withColumn("digest", F.md5(F.concat_ws("\u0000", "role", "text")))
-    rows = rows.withColumn("has_turn", F.col("turn").isNotNull()).withColumn("turn_no", F.coalesce("turn", F.lit(0)))
-    slim = rows.select("conv", *ORDER, F.length("text").alias("n_text")).dropDuplicates(["conv", *ORDER])
-    # Length where the role is another participant's; as the assistant's it is shorter by the role and a line end.
-    length = F.length(_opening(F.col("role"), F.lit(None))) + F.col("n_text") + len(END)
-    slim = slim.withColumn("length", length.cast("long")).withColumn("one", F.lit(1)).drop("n_text")
-    slim = _with_earlier(_ordered(slim, "conv", *ORDER), ["conv"], at="length", one_before="one")
-    slim = table(slim.withColumn("part", F.floor(F.col("one_before") / part_messages).cast("long")))
-
-    people = small(table(slim.select("conv", F.col("role").alias("perspective")).distinct()))
-    parts = slim.groupBy("conv", "part").agg(F.min("at").alias("at"))
-    own = slim.groupBy("conv", "part", F.col("role").alias("perspective")).agg(F.count("*").alias("own"))
-    starts = parts.join(people, "conv").join(own, ["conv", "part", "perspective"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    starts = _with_earlier(_ordered(starts, "conv", "perspective", "part"), ["conv", "perspective"], own_before="own")
-    shorter = F.length(_opening(F.col("perspective"), F.lit(None))) - F.length(_opening(F.col("perspective"), F.col("perspective")))
-    starts = starts.select("conv", "part", "perspective", (F.col("at") - F.col("own_before") * shorter).alias("start"))
-
-    whole = rows.dropDuplicates(["conv", *ORDER]).join(slim.select("conv", *ORDER, "part"), ["conv", *ORDER])
-    message = F.struct("turn", "digest", "role", "text")
-    grouped = whole.groupBy("conv", "part").agg(F.first("conv_id").alias("conv_id"), F.sort_array(F.collect_list(message)).alias("messages"))
-    turned = grouped.join(starts, ["conv", "part"]).select("conv_id", "part", "messages", "perspective", "start")
+    longer = table(rows.groupBy("conv").count().filter(F.col("count") > part_messages).select("conv"))
+    several = small(longer)
+    message = F.struct("turn", "role", "text")
+    grouped = rows.join(several, "conv", "left_anti").groupBy("conv").agg(F.first("conv_id").alias("conv_id"), F.collect_list(message).alias("messages"))
+    with_digest = lambda m: F.struct(m["turn"].alias("turn"), _digest(m["role"], m["text"]).alias("digest"), m["role"].alias("role"), m["text"].alias("text"))
+    grouped = grouped.withColumn("messages", F.sort_array(F.transform(F.array_distinct("messages"), with_digest)))
+    perspective = F.explode(F.array_distinct(F.transform("messages", lambda m: m["role"])))
+    turned = grouped.select("conv_id", F.lit(0).cast("long").alias("part"), "messages", perspective.alias("perspective"), F.lit(0).cast("long").alias("start"))
+    if not longer.isEmpty():
+        turned = turned.unionByName(_in_parts(rows.join(several, "conv", "left_semi"), part_messages))
 
     end = F.lit(END)
     me = F.col("perspective")
