@@ -20,7 +20,9 @@ though: equal strings of ``LENGTH`` bytes. So the transform is built over short
 Anchors of more than ``BLOCK`` classes are lengthened first: two contexts share a string only if half of
 what it has beside the anchor agrees on the left, or the rest on the right. So each context goes to
 the group of the anchor with these bytes on its left, and to that with those on its right, and so on
-until no group is large (``_lengthened``); at the end of that an anchor is the whole string.
+until no group is large (``_lengthened``); at the end of that an anchor is the whole string. The
+fewer bytes are left open, the shorter is the stretch that a group's strings lie in. Contexts that agree
+on all of it repeat there, and only one of them goes on (``_merged``).
 """
 
 from __future__ import annotations
@@ -180,8 +182,9 @@ def _repeated(length: int, anchor: int):
         def solve() -> Iterator[pa.RecordBatch]:
             single, uid, first, shift, context = (np.concatenate([h[k] for h in held]) for k in range(5))
             held.clear()
-            # Lengthened anchors may bring a context more than once; it is no repeat of itself.
-            once = np.unique(np.stack([uid, first, shift]), axis=1, return_index=True)[1]
+            # Lengthened anchors may bring a context more than once; it is no repeat of itself. One that has strings open goes first.
+            order = np.argsort(~single.astype(bool), kind="stable")
+            once = order[np.unique(np.stack([uid, first, shift])[:, order], axis=1, return_index=True)[1]]
             single, uid, first, shift, context = (x[once] for x in (single, uid, first, shift, context))
             marks = np.zeros((len(uid), span + 1), dtype=bool)
             for column, which in sort_columns(list(context), shift + span, length, columns):
@@ -206,8 +209,26 @@ def _repeated(length: int, anchor: int):
     return run
 
 
+def _merged(groups: DataFrame, length: int, anchor: int) -> tuple[DataFrame, DataFrame]:
+    """Groups with one of all contexts that agree where the strings of the group lie, and (uid, from, to) of that place in all of these."""
+    before, after = -F.col("shift"), -F.col("shift") + anchor
+    begin = F.greatest(before - (length - anchor - F.col("right")), F.lit(0)).cast("int")
+    end = F.least(after + (length - anchor - F.col("left")), F.octet_length("context")).cast("int")
+    groups = groups.withColumns({"begin": begin, "end": end}).filter(F.col("end") - F.col("begin") >= length)
+    stretch = F.xxhash64(before - F.col("begin"), F.expr("substring(context, begin + 1, end - begin)"))
+    groups = table(groups.withColumn("stretch", stretch))
+    alike = groups.groupBy("anchor", "stretch").agg(F.count("*").alias("members"), F.min(F.struct("uid", "first", "shift")).alias("one"))
+    alike = small(table(alike.filter("members > 1").select("anchor", "stretch", "one")))
+    met = table(groups.join(alike, ["anchor", "stretch"]))
+    place = [(F.col("first") + F.col(c)).cast("long").alias(name) for c, name in (("begin", "from"), ("end", "to"))]
+    shared = met.filter("single").select("uid", *place)
+    ones = met.filter(F.struct("uid", "first", "shift") == F.col("one")).withColumn("single", F.lit(False)).drop("one")
+    rest = groups.join(alike, ["anchor", "stretch"], "left_anti").unionByName(ones)
+    return rest.drop("begin", "end", "stretch"), shared
+
+
 def _lengthened(contexts: DataFrame, length: int, anchor: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """Contexts in groups (``anchor``) of at most ``block``, and (uid, from, to) of strings that whole groups share.
+    """Contexts in groups (``anchor``) of at most ``block``, and (uid, from, to) of repeated strings of contexts that were merged.
 
     ``left`` and ``right`` are the bytes beside the anchor that all of a group have; of the others that a
     string needs, half (rounded up) have to agree further left or the rest further right. Contexts
@@ -222,15 +243,15 @@ def _lengthened(contexts: DataFrame, length: int, anchor: int, block: int) -> tu
         if large.isEmpty():
             break
         over = table(groups.join(small(large), "anchor", "left_semi"))
-        begin = (F.col("first") - F.col("shift") - F.col("left")).cast("long")
-        shared.append(over.filter((F.col("left") + F.col("right") == span) & F.col("single")).select("uid", begin.alias("from"), (begin + length).alias("to")))
         over = over.filter(F.col("left") + F.col("right") < span).withColumn("open", span - F.col("left") - F.col("right"))
         more_left, more_right = F.ceil(F.col("open") / 2).cast("int"), F.floor(F.col("open") / 2).cast("int") + 1
         to_left = over.withColumn("more", more_left).filter(-F.col("shift") >= F.col("left") + F.col("more"))
         to_left = to_left.withColumns({"anchor": F.xxhash64("anchor", F.lit("left"), F.expr("substring(context, 1 - shift - left - more, more)")), "left": F.col("left") + F.col("more")})
         to_right = over.withColumn("more", more_right).filter(F.octet_length("context") + F.col("shift") - anchor >= F.col("right") + F.col("more"))
         to_right = to_right.withColumns({"anchor": F.xxhash64("anchor", F.lit("right"), F.expr(f"substring(context, 1 - shift + {anchor} + right, more)")), "right": F.col("right") + F.col("more")})
-        groups = table(to_left.unionByName(to_right).drop("open", "more"))
+        groups, found = _merged(to_left.unionByName(to_right).drop("open", "more"), length, anchor)
+        groups = table(groups)
+        shared.append(found)
     none = contexts.filter(F.lit(False)).select("uid", F.lit(0).cast("long").alias("from"), F.lit(0).cast("long").alias("to"))
     return reduce(DataFrame.unionByName, ready), reduce(DataFrame.unionByName, shared, none)
 
